@@ -139,7 +139,7 @@ def normalise_to_first(spark, sf):
     return tidy(df.select("code", "date", "norm"))
 
 
-WINDOW_SQL = f"""SELECT ticker, date, {r('list_sum(list_transform(w, x -> x[1]))')} AS returns,
+WINDOW_SQL = f"""SELECT ticker, date, {r('list_sum(list_transform(w, lambda x: x[1]))')} AS returns,
     {r('w[1][2]')} AS first_range, len(w) AS size FROM (
     SELECT ticker, date, list([close_return, range_cs]) OVER f AS w, row_number() OVER o AS n
     FROM std WINDOW o AS (PARTITION BY ticker ORDER BY date), f AS (PARTITION BY ticker ORDER BY date

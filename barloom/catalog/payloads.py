@@ -145,7 +145,7 @@ def decode_positions(spark, sf):
         F.concat(F.lit("stock "), "code").alias("stock_name"),
         F.col("code").alias("stock_code_id"),
         F.col("volume").cast("long").alias("shares"),
-        F.format_string("%.6f", F.col("close").cast("double")).alias("beginning_price"),
+        F.col("close").cast("double").cast("string").alias("beginning_price"),
         opened.alias("createtime"),
         F.substring("code", 2, 20).cast("long").alias("user_uid_id"),
     )

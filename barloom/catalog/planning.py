@@ -66,9 +66,8 @@ t.CTES["event_cal"] = (
             ELSE isodow(d.date) < 6 END AS trading
         FROM (SELECT CAST(unnest(generate_series((SELECT CAST(min(ts) AS DATE) FROM events) - 31,
             (SELECT CAST(max(ts) AS DATE) FROM events) + 40, INTERVAL 1 DAY)) AS DATE) AS date) d
-        LEFT JOIN (SELECT CAST(ts AS DATE) AS date, event_type FROM events QUALIFY
-            row_number() OVER (PARTITION BY date ORDER BY value DESC, event_id DESC) = 1)
-        USING (date))""",
+        LEFT JOIN (SELECT CAST(ts AS DATE) AS date, arg_max(event_type, (value, event_id)) AS event_type
+            FROM events GROUP BY 1) e ON e.date = d.date)""",
 )
 
 
@@ -183,7 +182,7 @@ t.CTES["queue"] = (
         WHERE coalesce(low_price, open_price) IS NOT NULL)""",
 )
 SHARES = f"""1000 * list_max(list_filter(range(0, CAST(floor(least({BUDGET} / {t.SLOTS}, w.remaining)
-    / (q.price * 1000)) AS BIGINT) + 1), x -> x = 0 OR
+    / (q.price * 1000)) AS BIGINT) + 1), lambda x: x = 0 OR
     x * 1000 * q.price + greatest(x * 1000 * q.price * 0.001425, 20) <= w.remaining))"""
 t.CTES["walk"] = (
     "queue",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,18 +15,28 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+# Values halfway between two roundings would fall either way; a relative nudge far above the noise
+# of summation order, and far below the digits compared, settles them on both sides.
+NUDGE = 1.00000000001
+
+
 def r(expr: str, digits: int = 4) -> str:
     """SQL rounding to compare floats by; negative zero becomes zero."""
-    value = f"round(CAST({expr} AS DOUBLE), {digits})"
+    value = f"round(CAST({expr} AS DOUBLE) * {NUDGE}, {digits})"
     return f"CASE WHEN {value} = 0 THEN 0.0 ELSE {value} END"
 
 
-def tidy(df: DataFrame, digits: int = 4) -> DataFrame:
-    """The same rounding on the Spark side, for every float column."""
+def rounded(value: Column, digits: int) -> Column:
+    """The same rounding on the Spark side."""
+    return F.round(value.cast("double") * NUDGE, digits)
+
+
+def tidy(df: DataFrame, digits: int = 4, **coarse: int) -> DataFrame:
+    """Round every float column; columns in ``coarse`` have digits of their own."""
     floats = (T.FloatType, T.DoubleType)
     return df.select(
         *[
-            F.round(F.col(f.name).cast("double"), digits).alias(f.name)
+            rounded(F.col(f.name), coarse.get(f.name, digits)).alias(f.name)
             if isinstance(f.dataType, floats)
             else F.col(f.name)
             for f in df.schema

@@ -196,4 +196,4 @@ def rank_latest(spark, sf):
         CAST(row_number() OVER (ORDER BY score DESC, ticker) AS INTEGER) AS rank FROM latest""",
 )
 def rank(spark, sf):
-    return tidy(scoring.rank(t.bars(spark, sf), t.SCORER, t.STEPS), 6)
+    return tidy(scoring.rank(t.bars(spark, sf), t.RANK_SCORER, t.RANK_STEPS), 6)

@@ -20,7 +20,9 @@ STEPS = 20
 HORIZON = 25
 THRESHOLD = 0.005
 SLOTS = 10
-CASH = 100_000_000.0
+CASH = 1_000_000_000.0
+RANK_STEPS = 2  # the tail of the history holds few bars per ticker
+BOOK_LOT = 25  # volume per lot of a position
 CUTOFF = "2000-01-01"
 REFETCH_FROM = "2001-01-01"
 STORED_UNTIL = "2001-07-01"
@@ -131,6 +133,7 @@ class Rounded:
 
 
 SCORER = Rounded(scoring.momentum_scorer(STEPS))
+RANK_SCORER = Rounded(scoring.momentum_scorer(RANK_STEPS))
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
@@ -174,7 +177,7 @@ def holdings(spark: SparkSession, sf: str) -> DataFrame:
 def actions(spark: SparkSession, sf: str) -> DataFrame:
     """Buys where the close turns up and sells where it turns down, one position per ticker.
 
-    The position is as many lots as the volume of the entry bar.
+    The position grows with the volume of the entry bar.
     """
     order = along("code")
     turns = (
@@ -185,7 +188,7 @@ def actions(spark: SparkSession, sf: str) -> DataFrame:
     )
     lots = F.when(F.col("_up"), F.col("volume")).otherwise(F.lag("volume").over(order))
     return (
-        turns.withColumn("shares", lots.cast("double") * pricing.LOT)
+        turns.withColumn("shares", F.ceil(lots.cast("double") / BOOK_LOT) * pricing.LOT)
         .filter(F.col("shares").isNotNull())
         .select(
             "date",
@@ -233,7 +236,7 @@ def positions(spark: SparkSession, sf: str) -> DataFrame:
 
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Each account's strongest names by their latest score."""
-    latest = scoring.latest_scores(bars(spark, sf), SCORER, STEPS)
+    latest = scoring.latest_scores(bars(spark, sf), RANK_SCORER, RANK_STEPS)
     mine = latest.join(
         markets(spark, sf).select(F.col("code").alias("ticker"), "account"), "ticker"
     )
@@ -408,11 +411,11 @@ CTES: dict[str, tuple[str, str]] = {
     ),
     "actions": (
         "bars",
-        """SELECT date, code AS ticker, CASE WHEN up THEN 'Buy' ELSE 'Sell' END AS side,
+        f"""SELECT date, code AS ticker, CASE WHEN up THEN 'Buy' ELSE 'Sell' END AS side,
             CASE WHEN up THEN '' ELSE 'signal' END AS reason,
             CASE WHEN up THEN ceil(CAST(low AS DOUBLE) / tl - 1e-9) * tl
                  ELSE floor(CAST(high AS DOUBLE) / th + 1e-9) * th END AS price,
-            CAST(lots AS DOUBLE) * 1000 AS shares
+            ceil(CAST(lots AS DOUBLE) / {BOOK_LOT}) * 1000 AS shares
             FROM (SELECT *, CASE WHEN up THEN volume
                     ELSE lag(volume) OVER (PARTITION BY code ORDER BY date) END AS lots,
                 CASE WHEN low < 10 THEN .01 WHEN low < 50 THEN .05 WHEN low < 100 THEN .1
@@ -498,14 +501,14 @@ CTES: dict[str, tuple[str, str]] = {
     "tail": (
         "bars",
         f"""SELECT * FROM bars
-            WHERE date >= (SELECT max(date) FROM bars) - {2 * STEPS + 10}""",
+            WHERE date >= (SELECT max(date) FROM bars) - {2 * RANK_STEPS + 10}""",
     ),
     "latest": (
         "tail",
         f"""SELECT ticker, date, round(mean_return - 0.1 * CAST(CAST(range_cs AS FLOAT) AS DOUBLE), 9)
             AS score FROM (
             SELECT *, avg(CAST(CAST(close_return AS FLOAT) AS DOUBLE)) OVER (PARTITION BY ticker
-                ORDER BY date ROWS BETWEEN {STEPS - 1} PRECEDING AND CURRENT ROW) AS mean_return,
+                ORDER BY date ROWS BETWEEN {RANK_STEPS - 1} PRECEDING AND CURRENT ROW) AS mean_return,
             row_number() OVER (PARTITION BY ticker ORDER BY date) AS n,
             row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS age FROM (
             SELECT *, (range - avg(range) OVER d) / (stddev_samp(range) OVER d + 1e-8) AS range_cs,
@@ -515,7 +518,7 @@ CTES: dict[str, tuple[str, str]] = {
             ln(CAST(high AS DOUBLE) / CAST(low AS DOUBLE)) AS range FROM tail)
             WINDOW d AS (PARTITION BY date))
             WHERE close_return IS NOT NULL AND returns > 1 AND range_cs IS NOT NULL)
-            WHERE n >= {STEPS} AND age = 1""",
+            WHERE n >= {RANK_STEPS} AND age = 1""",
     ),
     "candidates": (
         "latest markets",

@@ -161,7 +161,7 @@ def round_trip_cost(spark, sf):
 @query(
     "affordable_shares",
     "px",
-    f"""SELECT code, date, {r('1000 * list_max(list_filter(range(0, CAST(floor(budget / lot) AS BIGINT) + 1), k -> k = 0 OR k * lot + greatest(k * lot * 0.001425, 20) <= cash))')}
+    f"""SELECT code, date, {r('1000 * list_max(list_filter(range(0, CAST(floor(budget / lot) AS BIGINT) + 1), lambda k: k = 0 OR k * lot + greatest(k * lot * 0.001425, 20) <= cash))')}
         AS shares FROM (SELECT code, date, {ceil_sql('low')} * 1000 AS lot,
         1000000 + volume * 200000 AS budget, (1000000 + volume * 200000) * 1.0005 AS cash FROM px)""",
 )
@@ -228,28 +228,23 @@ def final_liquidation(spark, sf):
 )
 def round_trips(spark, sf):
     df = trades.round_trips(t.actions(spark, sf))
-    return tidy(tidy(df.withColumn("return_pct", F.round("return_pct", 6)), 6).select(
-        "ticker", "entry_date", "exit_date", "exit_reason",
-        *[F.round(c, 4).alias(c) for c in
-          ("entry_price", "exit_price", "shares", "cost", "proceeds", "pnl")],
-        "return_pct",
-    ), 6)
+    return tidy(df, 4, return_pct=6)
 
 
-@query("mark_equity", "equity", f"SELECT date, {r('equity', 2)} AS equity FROM equity")
+@query("mark_equity", "equity", f"SELECT date, {r('equity', -1)} AS equity FROM equity")
 def mark_equity(spark, sf):
     df = trades.mark_equity(t.actions(spark, sf), t.ticker_bars(spark, sf), t.CASH)
-    return tidy(df, 2)
+    return tidy(df, -1)
 
 
 @query(
     "equal_target",
     "book",
-    f"SELECT date, {r(f'(cash_before + kept) / {t.SLOTS}', 2)} AS target FROM book",
+    f"SELECT date, {r(f'(cash_before + kept) / {t.SLOTS}', -1)} AS target FROM book",
 )
 def equal_target(spark, sf):
     df = trades.equal_target(t.actions(spark, sf), t.ticker_bars(spark, sf), t.CASH, t.SLOTS)
-    return tidy(df, 2)
+    return tidy(df, -1)
 
 
 t.CTES["settled"] = (
@@ -275,10 +270,10 @@ def settled(spark, sf):
     "settle_cash",
     "settled",
     f"""SELECT date, ticker, side, reason, {r('price')} AS price, {r('shares')} AS shares,
-        {r('cash_after', 2)} AS cash_after FROM settled""",
+        {r('cash_after', -1)} AS cash_after FROM settled""",
 )
 def settle_cash(spark, sf):
-    return tidy(settled(spark, sf).withColumn("cash_after", F.round("cash_after", 2)))
+    return tidy(settled(spark, sf), 4, cash_after=-1)
 
 
 @query(
@@ -291,7 +286,7 @@ def settle_cash(spark, sf):
 def mark_to_last_close(spark, sf):
     dated = t.actions(spark, sf).select("ticker", F.date_add("date", 3).alias("date"), "shares")
     df = trades.mark_to_last_close(dated, t.ticker_bars(spark, sf))
-    return tidy(df.withColumn("value", F.round("value", 2)))
+    return tidy(df, 4, value=2)
 
 
 @query(
