@@ -15,20 +15,26 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-# Values halfway between two roundings would fall either way; a relative nudge far above the noise
-# of summation order, and far below the digits compared, settles them on both sides.
+# Rounding by floor gives the same bits in both engines and stays in generated code. Values halfway
+# between two roundings would still fall either way; a relative nudge far above the noise of
+# summation order, and far below the digits compared, settles them on both sides.
 NUDGE = 1.00000000001
 
 
+def scale(digits: int) -> float:
+    return float(10**digits)
+
+
 def r(expr: str, digits: int = 4) -> str:
-    """SQL rounding to compare floats by; negative zero becomes zero."""
-    value = f"round(CAST({expr} AS DOUBLE) * {NUDGE}, {digits})"
-    return f"CASE WHEN {value} = 0 THEN 0.0 ELSE {value} END"
+    """SQL rounding to compare floats by."""
+    unit = f"CAST({scale(digits)!r} AS DOUBLE)"
+    return f"floor(CAST({expr} AS DOUBLE) * {NUDGE} * {unit} + 0.5) / {unit}"
 
 
 def rounded(value: Column, digits: int) -> Column:
     """The same rounding on the Spark side."""
-    return F.round(value.cast("double") * NUDGE, digits)
+    unit = scale(digits)
+    return F.floor(value.cast("double") * NUDGE * unit + 0.5) / unit
 
 
 def tidy(df: DataFrame, digits: int = 4, **coarse: int) -> DataFrame:

@@ -126,10 +126,12 @@ class Rounded:
     """Scores rounded far below their scale, so that ranks do not hang on summation order."""
 
     def __init__(self, inner, digits: int = 9):
-        self.inner, self.digits = inner, digits
+        self.inner, self.unit = inner, float(10**digits)
 
     def score(self, frame: DataFrame, steps: int) -> DataFrame:
-        return self.inner.score(frame, steps).withColumn("score", F.round("score", self.digits))
+        return self.inner.score(frame, steps).withColumn(
+            "score", F.floor(F.col("score") * self.unit + 0.5) / self.unit
+        )
 
 
 SCORER = Rounded(scoring.momentum_scorer(STEPS))
@@ -370,7 +372,7 @@ CTES: dict[str, tuple[str, str]] = {
     "keyed": (
         "std",
         f"""SELECT *, CASE WHEN row_number() OVER w >= {STEPS}
-            THEN round(avg(close_return) OVER f - 0.1 * range_cs, 9) END AS score FROM std
+            THEN floor((avg(close_return) OVER f - 0.1 * range_cs) * 1e9 + 0.5) / 1e9 END AS score FROM std
             WINDOW w AS (PARTITION BY ticker ORDER BY date),
             f AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN {STEPS - 1} PRECEDING AND CURRENT ROW)
             """,
@@ -380,7 +382,7 @@ CTES: dict[str, tuple[str, str]] = {
         "lab",
         f"""SELECT ticker, date, label AS target, score FROM (
             SELECT *, CASE WHEN row_number() OVER w >= {STEPS}
-            THEN round(avg(close_return) OVER f - 0.1 * range_cs, 9) END AS score FROM lab
+            THEN floor((avg(close_return) OVER f - 0.1 * range_cs) * 1e9 + 0.5) / 1e9 END AS score FROM lab
             WINDOW w AS (PARTITION BY ticker ORDER BY date),
             f AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN {STEPS - 1} PRECEDING AND CURRENT ROW)
             ) WHERE score IS NOT NULL""",
@@ -505,7 +507,7 @@ CTES: dict[str, tuple[str, str]] = {
     ),
     "latest": (
         "tail",
-        f"""SELECT ticker, date, round(mean_return - 0.1 * CAST(CAST(range_cs AS FLOAT) AS DOUBLE), 9)
+        f"""SELECT ticker, date, floor((mean_return - 0.1 * CAST(CAST(range_cs AS FLOAT) AS DOUBLE)) * 1e9 + 0.5) / 1e9
             AS score FROM (
             SELECT *, avg(CAST(CAST(close_return AS FLOAT) AS DOUBLE)) OVER (PARTITION BY ticker
                 ORDER BY date ROWS BETWEEN {RANK_STEPS - 1} PRECEDING AND CURRENT ROW) AS mean_return,

@@ -93,14 +93,25 @@ def normalise_to_first(df: DataFrame, col: str, key: str = "code") -> DataFrame:
     return df.withColumn("norm", F.try_divide(F.col(col).cast("double"), first))
 
 
-def with_day_index(df: DataFrame) -> DataFrame:
-    """Number the dates that have any row, from zero.
+def day_table(df: DataFrame) -> DataFrame:
+    """The dates that have any row, numbered from zero, with the last of them on every row.
 
     The global order runs over the distinct dates only, never over the rows.
     """
     days = df.select("date").distinct()
-    numbered = days.withColumn("day", F.row_number().over(Window.orderBy("date")) - 1)
-    return df.join(per_day(numbered), "date")
+    whole = Window.partitionBy()
+    return days.withColumns(
+        {
+            "day": F.row_number().over(Window.orderBy("date")) - 1,
+            "last_day": (F.count(F.lit(1)).over(whole) - 1).cast("int"),
+            "last_date": F.max("date").over(whole),
+        }
+    )
+
+
+def with_day_index(df: DataFrame) -> DataFrame:
+    """Number the dates that have any row, from zero."""
+    return df.join(per_day(day_table(df).select("date", "day")), "date")
 
 
 def lag_signal(bars: DataFrame, scores: DataFrame) -> DataFrame:

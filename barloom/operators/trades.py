@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions import pricing
-from barloom.operators.panel import along, with_day_index
+from barloom.operators.panel import along, day_table
 from barloom.operators.ranking import above, strongest_first
-from barloom.operators.spread import one_row, per_day, running_total, top_in_group
+from barloom.operators.spread import per_day, running_total, top_in_group
 from barloom.schemas import BUY, LOW_HIGH, SELL
 
 
@@ -34,8 +34,7 @@ def exit_outcomes(
     """
     if hold < 1:
         raise ValueError("hold must be at least one day")
-    indexed = with_day_index(day_bars)
-    final = indexed.agg(F.max("day").alias("_last_day"), F.max("date").alias("_last_date"))
+    indexed = day_bars.join(per_day(day_table(day_bars)), "date")
     quoted = indexed.withColumns(
         {
             "_buy": pricing.buy_price(fill),
@@ -54,9 +53,8 @@ def exit_outcomes(
     later = along().rowsBetween(1, hold)
     entries = (
         quoted.withColumn("_later", F.collect_list(bar).over(later))
-        .join(one_row(final))
         .transform(above, threshold)
-        .filter(F.col("day") < F.col("_last_day"))
+        .filter(F.col("day") < F.col("last_day"))
     )
 
     upper = F.col("_buy") * (1.0 + take_profit)
@@ -68,7 +66,7 @@ def exit_outcomes(
             .when(b["low"] <= lower, "stop_loss")
             .when(b["day"] - F.col("day") >= hold, "time")
             .when(b["score"] < 0, "signal")
-            .when(b["day"] == F.col("_last_day"), "final")
+            .when(b["day"] == F.col("last_day"), "final")
         )
 
     def price(b: Column) -> Column:
@@ -89,10 +87,10 @@ def exit_outcomes(
     return held.select(
         "ticker",
         F.col("date").alias("entry_date"),
-        F.when(closed, F.col("_hit.date")).otherwise(F.col("_last_date")).alias("exit_date"),
+        F.when(closed, F.col("_hit.date")).otherwise(F.col("last_date")).alias("exit_date"),
         F.col("_buy").alias("entry_price"),
         F.when(closed, price(F.col("_hit"))).otherwise(F.col("_mark")).alias("exit_price"),
-        (F.when(closed, F.col("_hit.day")).otherwise(F.col("_last_day")) - F.col("day")).alias(
+        (F.when(closed, F.col("_hit.day")).otherwise(F.col("last_day")) - F.col("day")).alias(
             "days_held"
         ),
         F.when(closed, reason(F.col("_hit"))).otherwise("final").alias("exit_reason"),
@@ -153,12 +151,30 @@ def book_days(actions: DataFrame, bars: DataFrame, start_cash: float) -> DataFra
     buys are in. Sales of a day settle on the next.
     """
     is_buy = F.col("side") == BUY
-    traded = actions.groupBy("ticker", "date").agg(
-        F.sum(F.when(is_buy, F.col("shares")).otherwise(0.0)).alias("bought"),
-        F.sum(F.when(is_buy, 0.0).otherwise(F.col("shares"))).alias("sold"),
+    nothing = F.lit(0.0)
+    orders = actions.withColumn("_flow", _flow()).select(
+        "ticker",
+        "date",
+        F.lit(None).cast("double").alias("close"),
+        F.when(is_buy, F.col("shares")).otherwise(nothing).alias("bought"),
+        F.when(is_buy, nothing).otherwise(F.col("shares")).alias("sold"),
+        F.when(is_buy, F.col("_flow")).otherwise(nothing).alias("paid"),
+        F.when(is_buy, nothing).otherwise(F.col("_flow")).alias("received"),
+    )
+    sums = ["bought", "sold", "paid", "received"]
+    marks = bars.select(
+        "ticker",
+        "date",
+        F.col("close").cast("double").alias("close"),
+        *[nothing.alias(name) for name in sums],
+    )
+    # Placed by ticker once, which serves the grouping and the frame below.
+    steps = (
+        marks.unionByName(orders)
+        .repartition("ticker")
+        .groupBy("ticker", "date")
+        .agg(F.max("close").alias("close"), *[F.sum(name).alias(name) for name in sums])
     )
-    marks = bars.select("ticker", "date", F.col("close").cast("double").alias("close"))
-    steps = marks.join(traded, ["ticker", "date"], "full").fillna(0.0, ["bought", "sold"])
     so_far = along().rowsBetween(Window.unboundedPreceding, 0)
     held = steps.withColumns(
         {
@@ -172,20 +188,16 @@ def book_days(actions: DataFrame, bars: DataFrame, start_cash: float) -> DataFra
         }
     )
     before = F.lag("value", 1, 0.0).over(along())
-    changes = (
+    days = (
         held.withColumns({"change": F.col("value") - before, "kept": F.col("kept") - before})
         .groupBy("date")
-        .agg(F.sum("change").alias("change"), F.sum("kept").alias("kept_change"))
-    )
-    flows = (
-        actions.withColumn("_flow", _flow())
-        .groupBy("date")
         .agg(
-            F.sum(F.when(is_buy, F.col("_flow")).otherwise(0.0)).alias("paid"),
-            F.sum(F.when(is_buy, 0.0).otherwise(F.col("_flow"))).alias("received"),
+            F.sum("change").alias("change"),
+            F.sum("kept").alias("kept_change"),
+            F.sum("paid").alias("paid"),
+            F.sum("received").alias("received"),
         )
     )
-    days = changes.join(per_day(flows), "date", "left").fillna(0.0, ["paid", "received"])
     # From here on one row per day.
     order = Window.orderBy("date")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
