@@ -70,6 +70,13 @@ def _slice_offsets(slices: DataFrame, by: Sequence[str], names: Sequence[str]) -
     )
 
 
+def _per_slice(offsets: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Broadcast the offsets where days and partitions bound their number."""
+    if all(isinstance(offsets.schema[name].dataType, T.DateType) for name in by):
+        return F.broadcast(offsets)
+    return offsets
+
+
 def rank_within(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
     """Position of every row in its group, with no bound on the group's size.
 
@@ -82,7 +89,7 @@ def rank_within(df: DataFrame, by: Sequence[str], order: Sequence[Column], name:
         F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first")
     )
     offsets = _slice_offsets(slices, by, ["_n"])
-    ranked = placed.join(offsets, [*by, "_slice"])
+    ranked = placed.join(_per_slice(offsets, by), [*by, "_slice"])
     rank = (F.col("_pos") - F.col("_first") + F.col("_n_before") + 1).cast("int")
     return ranked.withColumn(name, rank).select(*df.columns, name)
 
@@ -98,4 +105,4 @@ def running_total(
         Window.unboundedPreceding, 0
     )
     total = F.sum(value).over(local) + F.col("_sum_before")
-    return placed.join(offsets, [*by, "_slice"]).withColumn(name, total).select(*df.columns, name)
+    return placed.join(_per_slice(offsets, by), [*by, "_slice"]).withColumn(name, total).select(*df.columns, name)
