@@ -5,7 +5,7 @@ Each derived table exists twice: as a DataFrame and as the SQL of the cross-chec
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.functions import pricing
@@ -28,38 +28,47 @@ REFETCH_FROM = "2001-01-01"
 STORED_UNTIL = "2001-07-01"
 
 
+# Order, line and price in one number: a primitive key keeps the day aggregate hashed. Order keys up
+# to 2**40 fit; beyond that the sum overflows with an error.
+SEQUENCE = (
+    "(l_orderkey * 8 + l_linenumber) * 1048576 + cast(l_extendedprice * 100 as bigint) % 1048576"
+)
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines as trades of a supplier: unit price, quantity and place in the day's sequence."""
     return table(spark, sf, "lineitem").select(
-        F.concat(F.lit("S"), "l_suppkey").alias("code"),
+        "l_suppkey",
         F.to_date("l_shipdate").alias("date"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
         F.col("l_quantity").alias("quantity"),
         F.col("l_discount").alias("discount"),
-        # Order, line and value in one number: a primitive key keeps the aggregate hashed.
-        F.expr(
-            "cast(l_orderkey * 8 + l_linenumber as decimal(20, 0)) * 100000000000000BD"
-            " + cast(l_extendedprice * 10000 + l_quantity as decimal(14, 0))"
-        ).alias("seq"),
+        F.expr(SEQUENCE).alias("seq"),
     )
 
 
+def day_aggregates() -> list[Column]:
+    return [
+        F.min_by("price", "seq").cast("float").alias("open"),
+        F.max("price").cast("float").alias("high"),
+        F.min("price").cast("float").alias("low"),
+        F.max_by("price", "seq").cast("float").alias("close"),
+        F.sum("quantity").cast("float").alias("volume"),
+    ]
+
+
+# Codes are made after the grouping, which hashes the number.
+CODE = "concat('S', l_suppkey) as code"
+
+
 def bars(spark: SparkSession, sf: str) -> DataFrame:
     """Daily bars per supplier: unit prices of the day's lines in order."""
-    return (
-        lines(spark, sf)
-        .groupBy("code", "date")
-        .agg(
-            F.min_by("price", "seq").cast("float").alias("open"),
-            F.max("price").cast("float").alias("high"),
-            F.min("price").cast("float").alias("low"),
-            F.max_by("price", "seq").cast("float").alias("close"),
-            F.sum("quantity").cast("float").alias("volume"),
-        )
-    )
+    days = lines(spark, sf).groupBy("l_suppkey", "date").agg(*day_aggregates())
+    return days.select(F.expr(CODE), "date", "open", "high", "low", "close", "volume")
 
 
 def markets(spark: SparkSession, sf: str) -> DataFrame:
@@ -81,22 +90,12 @@ def raw_bars(spark: SparkSession, sf: str) -> DataFrame:
 
     Days of little volume have no close.
     """
-    day = (
-        lines(spark, sf)
-        .groupBy("code", "date")
-        .agg(
-            F.min_by("price", "seq").cast("float").alias("open"),
-            F.max("price").cast("float").alias("high"),
-            F.min("price").cast("float").alias("low"),
-            F.max_by("price", "seq").cast("float").alias("close"),
-            F.sum("quantity").cast("float").alias("volume"),
-            F.max("discount").alias("discount"),
-        )
-    )
+    aggregates = [*day_aggregates(), F.max("discount").alias("discount")]
+    day = lines(spark, sf).groupBy("l_suppkey", "date").agg(*aggregates)
     quoted = F.col("volume") >= 5
     adjclose = (F.col("close").cast("double") * (1 - F.col("discount"))).cast("float")
     return day.select(
-        "code",
+        F.expr(CODE),
         "date",
         "open",
         "high",
@@ -278,7 +277,8 @@ CTES: dict[str, tuple[str, str]] = {
         "",
         """SELECT 'S' || l_suppkey AS code, CAST(l_shipdate AS DATE) AS date,
             l_extendedprice / l_quantity AS price, l_quantity AS quantity, l_discount AS discount,
-            (l_orderkey, l_linenumber, l_extendedprice, l_quantity) AS seq FROM lineitem""",
+            (l_orderkey * 8 + l_linenumber) * 1048576
+            + CAST(floor(l_extendedprice * 100) AS BIGINT) % 1048576 AS seq FROM lineitem""",
     ),
     "bars": (
         "lines",

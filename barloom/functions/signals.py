@@ -28,9 +28,16 @@ def is_positive(value: Column) -> Column:
     return (value > 0) & (value < F.lit(float("inf")))
 
 
+def finite_or_null(value: Column) -> Column:
+    return F.when(F.abs(value) < F.lit(float("inf")), value)
+
+
 def log_ratio(value: Column, base: Column) -> Column:
-    """``ln(value / base)``, null unless both are positive and finite."""
-    return F.when(is_positive(value) & is_positive(base), F.ln(F.try_divide(value, base)))
+    """``ln(value / base)``, null unless both are positive: Spark's ``ln`` is null at or below zero.
+
+    A difference of logarithms needs no division guard, which keeps the generated code short.
+    """
+    return F.ln(value) - F.ln(base)
 
 
 def price_returns(prev_close: str = "prev_close") -> dict[str, Column]:

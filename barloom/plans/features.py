@@ -16,10 +16,15 @@ HORIZON = 25
 
 
 def raw_signals(bars: DataFrame, entity: str = "code") -> DataFrame:
-    """Projected bars with the six signals; a ticker's first row has no returns."""
+    """Projected bars with the six signals; a ticker's first row has no returns.
+
+    Prices that are not finite become null, so that one bad bar cannot spoil a date's statistics.
+    """
+    sane = {c: signals.finite_or_null(F.col(c)) for c in (*PRICES, "volume")}
     return (
         bars.transform(history.project_bars, entity)
         .transform(history.positive_close)
+        .withColumns(sane)
         .transform(prev, ["close", "volume"])
         .withColumns(
             {
