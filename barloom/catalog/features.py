@@ -9,9 +9,11 @@ from barloom.catalog.registry import query, r, tidy
 from barloom.functions import signals
 from barloom.operators import panel, ranking, windows
 from barloom.plans.features import label_rank, labelled_only, raw_signals
+from barloom.schemas import PRICES
 
 SIGNAL_SQL = ", ".join(f"{r(c, 6)} AS {c}" for c in signals.BASE_SIGNALS)
 ZSCORE_SQL = ", ".join(f"{r(c + '_cs')} AS {c}_cs" for c in signals.BASE_SIGNALS)
+PRICE_SQL = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in PRICES)
 FEATURE_SQL = ", ".join(f"{r(c)} AS {c}" for c in signals.FEATURES)
 
 
@@ -103,11 +105,10 @@ def feature_array(spark, sf):
 @query(
     "standardize",
     "std",
-    f"SELECT ticker, date, {r('open')} AS open, {r('high')} AS high, {r('low')} AS low,"
-    f" {r('close')} AS close, {FEATURE_SQL} FROM std",
+    f"SELECT ticker, date, {PRICE_SQL}, {FEATURE_SQL} FROM std",
 )
 def standardized(spark, sf):
-    return tidy(spread_features(t.std(spark, sf)))
+    return tidy(spread_features(t.std(spark, sf)), **dict.fromkeys(PRICES))
 
 
 @query(

@@ -27,27 +27,28 @@ def scale(digits: int) -> float:
 
 def r(expr: str, digits: int = 4) -> str:
     """SQL rounding to compare floats by."""
-    unit = f"CAST({scale(digits)!r} AS DOUBLE)"
-    return f"floor(CAST({expr} AS DOUBLE) * {NUDGE} * {unit} + 0.5) / {unit}"
+    unit = scale(digits)
+    shifted = f"CAST({expr} AS DOUBLE) * CAST({unit * NUDGE!r} AS DOUBLE) + 0.5"
+    return f"floor({shifted}) / CAST({unit!r} AS DOUBLE)"
 
 
 def rounded(value: Column, digits: int) -> Column:
     """The same rounding on the Spark side."""
     unit = scale(digits)
-    return F.floor(value.cast("double") * NUDGE * unit + 0.5) / unit
-
-
-def tidy(df: DataFrame, digits: int = 4, **coarse: int) -> DataFrame:
-    """Round every float column; columns in ``coarse`` have digits of their own."""
-    floats = (T.FloatType, T.DoubleType)
-    return df.select(
-        *[
-            rounded(F.col(f.name), coarse.get(f.name, digits)).alias(f.name)
-            if isinstance(f.dataType, floats)
-            else F.col(f.name)
-            for f in df.schema
-        ]
-    )
+    return F.try_divide(F.floor(value.cast("double") * (unit * NUDGE) + 0.5), F.lit(unit))
+
+
+def tidy(df: DataFrame, digits: int = 4, **own: int | None) -> DataFrame:
+    """Round every float column; ``own`` gives columns digits of their own, or None for as is."""
+
+    def column(field: T.StructField) -> Column:
+        if not isinstance(field.dataType, (T.FloatType, T.DoubleType)):
+            return F.col(field.name)
+        places = own.get(field.name, digits)
+        value = F.col(field.name)
+        return (value.cast("double") if places is None else rounded(value, places)).alias(field.name)
+
+    return df.select(*[column(field) for field in df.schema])
 
 
 def with_tables(uses: str | Sequence[str], sql: str, recursive: bool = False) -> str:

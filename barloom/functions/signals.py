@@ -64,7 +64,7 @@ def feature_array(names: list[str] = FEATURES) -> Column:
 
 
 def zscore(value: Column, mean: Column, deviation: Column) -> Column:
-    return (value - mean) / (deviation + ZSCORE_EPS)
+    return F.try_divide(value - mean, deviation + ZSCORE_EPS)
 
 
 def correlation(score: Column, target: Column) -> Column:
