@@ -36,9 +36,12 @@ def between(df: DataFrame, lo: dt.date | str, hi: dt.date | str) -> DataFrame:
 
 
 def recent(df: DataFrame, days: int) -> DataFrame:
-    """Rows at most ``days`` calendar days older than the newest date of the table."""
-    newest = df.agg(F.date_sub(F.max("date"), days).alias("_from"))
-    return df.join(one_row(newest), F.col("date") >= F.col("_from")).drop("_from")
+    """Rows at most ``days`` calendar days older than the newest date of the table.
+
+    The newest date is looked up first, so that the filter is a literal the scan can prune by.
+    """
+    newest = df.agg(F.date_sub(F.max("date"), days)).first()[0]
+    return df.filter(F.col("date") >= F.lit(newest).cast("date"))
 
 
 def last_date(df: DataFrame) -> DataFrame:
