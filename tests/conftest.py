@@ -11,7 +11,7 @@ from barloom.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(partitions=4, memory="8g")
+    session = local_session(partitions=2, memory="8g")
     yield session
     session.stop()
 
