@@ -136,7 +136,7 @@ def day_bars(spark, sf):
     "SELECT b.ticker, b.date, CAST(d.day AS INTEGER) AS day FROM day_bars b JOIN day_index d USING (date)",
 )
 def day_index(spark, sf):
-    return panel.with_day_index(t.day_bars(spark, sf).select("ticker", "date")).select(
+    return panel.with_day_index(t.written_day_bars(spark, sf).select("ticker", "date")).select(
         "ticker", "date", "day"
     )
 
@@ -148,7 +148,7 @@ def day_index(spark, sf):
         (PARTITION BY date ORDER BY score DESC, ticker) AS INTEGER) AS rank FROM day_bars""",
 )
 def rank_by_score(spark, sf):
-    df = t.day_bars(spark, sf).select("date", "ticker", "score")
+    df = t.written_day_bars(spark, sf).select("date", "ticker", "score")
     return tidy(ranking.rank_by_score(df), 6)
 
 

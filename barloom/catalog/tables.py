@@ -12,8 +12,10 @@ from barloom.functions import pricing
 from barloom.operators.history import since, until
 from barloom.operators.panel import along
 from barloom.operators.ranking import top_k
+from barloom.operators.spread import per_day
 from barloom.plans import scoring
 from barloom.plans.features import label_rank, standardize
+from barloom.session import cut_lineage
 
 # Parameters shared by queries and SQL.
 STEPS = 20
@@ -156,19 +158,21 @@ def day_bars(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.day_bars(std(spark, sf), SCORER, STEPS)
 
 
-def day_picks(spark: SparkSession, sf: str) -> DataFrame:
-    """The strongest names of each day, as a book that holds them overnight."""
-    return top_k(day_bars(spark, sf), -1.0, SLOTS, by="date").select("date", "ticker", "score")
+def written_day_bars(spark: SparkSession, sf: str) -> DataFrame:
+    """Day bars for queries that read them more than once: scoring runs once, then storage serves."""
+    return cut_lineage(day_bars(spark, sf))
 
 
-def holdings(spark: SparkSession, sf: str) -> DataFrame:
-    """Names picked on the previous day, with their score of the day if they have a bar."""
-    bars_today = day_bars(spark, sf)
+def holdings(bars_today: DataFrame) -> DataFrame:
+    """A book that holds the strongest names overnight.
+
+    Names picked on the previous day, with their score of the day if they have a bar.
+    """
+    picks = top_k(bars_today, -1.0, SLOTS, by="date").select("date", "ticker")
     days = bars_today.select("date").distinct()
     following = days.withColumn("next", F.lead("date").over(Window.orderBy("date")))
     carried = (
-        day_picks(spark, sf)
-        .join(F.broadcast(following), "date")
+        picks.join(per_day(following), "date")
         .filter(F.col("next").isNotNull())
         .select(F.col("next").alias("date"), "ticker")
     )

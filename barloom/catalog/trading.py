@@ -84,7 +84,7 @@ def bars64(spark, sf):
 
 def outcomes(spark, sf):
     return trades.exit_outcomes(
-        t.day_bars(spark, sf), TAKE_PROFIT, STOP_LOSS, HOLD, threshold=t.THRESHOLD
+        t.written_day_bars(spark, sf), TAKE_PROFIT, STOP_LOSS, HOLD, threshold=t.THRESHOLD
     )
 
 
@@ -192,7 +192,7 @@ WEIGHT = """CASE WHEN sum(greatest(score, 0)) OVER d > 0
     f"SELECT date, ticker, {r(WEIGHT, 6)} AS weight FROM day_bars WINDOW d AS (PARTITION BY date)",
 )
 def score_weights(spark, sf):
-    df = ranking.score_weights(t.day_bars(spark, sf).select("date", "ticker", "score"))
+    df = ranking.score_weights(t.written_day_bars(spark, sf).select("date", "ticker", "score"))
     return tidy(df.select("date", "ticker", "weight"), 6)
 
 
@@ -296,8 +296,8 @@ def mark_to_last_close(spark, sf):
         SELECT 1 FROM holdings h WHERE h.date = b.date AND h.ticker = b.ticker)""",
 )
 def not_held(spark, sf):
-    bars = t.day_bars(spark, sf).select("date", "ticker", "score")
-    return tidy(trades.not_held(bars, t.holdings(spark, sf)), 6)
+    today = t.written_day_bars(spark, sf).select("date", "ticker", "score")
+    return tidy(trades.not_held(today, t.holdings(today)), 6)
 
 
 @query(
@@ -317,6 +317,7 @@ def not_held(spark, sf):
         USING (date, k)) WHERE ok""",
 )
 def rotation_pairs(spark, sf):
-    held = t.holdings(spark, sf)
-    free = trades.not_held(t.day_bars(spark, sf).select("date", "ticker", "score"), held)
-    return tidy(trades.rotation_pairs(held, ranking.above(free, t.THRESHOLD), t.SLOTS), 6)
+    today = t.written_day_bars(spark, sf).select("date", "ticker", "score")
+    held = t.holdings(today)
+    free = ranking.above(trades.not_held(today, held), t.THRESHOLD)
+    return tidy(trades.rotation_pairs(held, free, t.SLOTS), 6)
