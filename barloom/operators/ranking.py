@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.signals import is_positive
@@ -35,10 +35,12 @@ def rank_latest(scored: DataFrame) -> DataFrame:
 
 
 def top_k(scored: DataFrame, threshold: float, k: int, by: str | None = None) -> DataFrame:
-    """The ``k`` strongest rows above ``threshold``, per group when ``by`` is given."""
+    """The ``k`` strongest rows above ``threshold`` with their rank, per group if ``by`` is given."""
     usable = above(scored, threshold)
     if by is None:
-        return usable.orderBy(*strongest_first()).limit(k)
+        strongest = usable.orderBy(*strongest_first()).limit(k)
+        order = Window.orderBy(*strongest_first())  # over the k rows left
+        return strongest.withColumn("rank", F.row_number().over(order))
     return top_in_group(usable, by, strongest_first(), k, "rank")
 
 

@@ -49,7 +49,7 @@ def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cpus=cpus, partitions=int(cpus) if cpus.isdigit() else 8)
-    run(spark, "date_bounds", sf)  # start the JVM's lazy parts outside the timings
+    run(spark, HEADLINE[0], sf)  # start the JVM and its workers outside the timings
     seconds = {name: round(run(spark, name, sf), 3) for name in HEADLINE}
     windows = QUERIES["window_counts"](spark, sf).groupBy().sum("windows").first()[0]
     rates = {name: round(windows / seconds[name]) for name in HEADLINE if name in WINDOWED}

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.operators import ranking
-from barloom.operators.spread import rank_within, running_total
+from barloom.operators.spread import _sorted_positions, rank_within, running_total
 
 
 @pytest.fixture(scope="module")
@@ -27,15 +27,22 @@ def test_ranks_match_a_sort(spark, skewed):
         assert [r["rank"] for r in ordered] == list(range(1, len(rows) + 1))
 
 
-def test_hot_group_spans_partitions(spark, skewed):
-    key = "spark.sql.adaptive.coalescePartitions.enabled"  # the fixture is tiny
-    spark.conf.set(key, "false")
+def test_hot_group_spans_slices(spark, skewed):
+    """The range sort splits the hot group, and the ranks still come out whole."""
+    settings = {
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",  # the fixture is tiny
+        "spark.sql.shuffle.partitions": "8",
+    }
+    before = {key: spark.conf.get(key) for key in settings}
     try:
-        ranked = ranking.rank_by_score(skewed).filter("date = 'hot'")
-        assert ranked.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        placed = _sorted_positions(skewed, ["date"], ranking.strongest_first())
+        assert placed.filter("date = 'hot'").select("_slice").distinct().count() > 1
         test_ranks_match_a_sort(spark, skewed)
     finally:
-        spark.conf.unset(key)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def test_top_k_is_a_prefix_of_the_ranks(spark, skewed):
@@ -45,6 +52,12 @@ def test_top_k_is_a_prefix_of_the_ranks(spark, skewed):
     assert "WindowGroupLimit" in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_overall_top_k(spark, skewed):
+    rows = ranking.top_k(skewed, 5.0, 7).collect()
+    best = sorted(skewed.filter("score > 5").collect(), key=lambda r: (-r.score, r.ticker))[:7]
+    assert [(r["rank"], r.ticker) for r in rows] == [(i + 1, r.ticker) for i, r in enumerate(best)]
+
+
 def test_nan_and_null_scores_have_no_rank(spark):
     df = spark.createDataFrame(
         [("d", "a", 1.0), ("d", "b", float("nan")), ("d", "c", None)],
