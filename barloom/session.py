@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+PACKAGE = os.path.dirname(os.path.abspath(__file__))
+
 
 def local_session(cpus: str = "8", partitions: int = 8, memory: str = "12g") -> SparkSession:
-    """A single-machine session for tests and the benchmark."""
-    spark = (
+    """A single-machine session for tests and the benchmark.
+
+    Lineage cuts go to a temporary folder unless the Spark defaults name one.
+    """
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("barloom")
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -19,25 +26,50 @@ def local_session(cpus: str = "8", partitions: int = 8, memory: str = "12g") ->
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    spark = builder.getOrCreate()
+    if not _named_dir(spark):
+        # Static to Spark SQL, so it has to be there when the session is made.
+        spark.stop()
+        spark = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-")).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
+def _named_dir(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by the cluster.
+    """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    A machine-local folder stands in only when the whole session is one machine.
+    ``local_session`` sets it where the Spark defaults don't; any other session has to name it.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    named = _named_dir(spark)
+    if not named:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    named = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    return named.rstrip("/")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the session's Python workers, once per application.
+
+    Workers import the operators by name, wherever the driver runs.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_barloom_shipped", False):
+        return
+    # The driver serves the archive to executors, so it stays until the driver's context ends.
+    archive = os.path.join(context._temp_dir, "barloom_package.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for top, _, names in os.walk(PACKAGE):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(top, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(PACKAGE)))
+    context.addPyFile(archive)
+    context._barloom_shipped = True
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
