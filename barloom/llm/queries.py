@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import packing, url_rules
+from barloom.llm import near_dup, packing, url_rules
 from barloom.llm.common import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -62,3 +62,9 @@ best AS (
 )
 SELECT page_id, host, path, rule, coalesce(best.verdict, 'allow') AS verdict FROM split LEFT JOIN best USING (n)
 """
+
+
+@query
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of near duplicates of every document."""
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
