@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import near_dup, packing, url_rules
-from barloom.llm.common import Query, table
+from barloom.llm import near_dup, packing, toxicity, url_rules
+from barloom.llm.common import Query, crc_remainder, table
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -17,6 +17,25 @@ def query(fn: Query) -> Query:
     return fn
 
 
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.ToxicityModel:
+    """Trained on the labels whose crc32 remainder by 5 is not 0."""
+    return toxicity.fit(docs, labels.filter(crc_remainder("doc_id", 5) != 0).select("doc_id", "toxic"))
+
+
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; rows with a null id count as not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id",
+        F.coalesce(crc_remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.size("offending").alias("n_offending"),
+    )
+
+
 @query
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a sequence of at most 1024 tokens."""
