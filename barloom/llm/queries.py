@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import near_dup, packing, toxicity, url_rules
+from barloom.llm import near_dup, packing, pii, toxicity, url_rules
 from barloom.llm.common import Query, crc_remainder, table
 
 QUERIES: dict[str, Query] = {}
@@ -17,6 +17,24 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document."""
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    base = F.filter("spans", lambda s: s["base"])
+
+    def count(kind: str) -> Column:
+        of_kind = F.filter(base, lambda s: s["kind"] == pii.KINDS.index(kind))
+        return F.size(of_kind).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *[count(kind) for kind in pii.BASE_PATTERNS],
+        F.sha2(pii.describe(base), 256).alias("base_sha256"),
+        pii.describe(F.col("spans")).alias("spans"),
+    )
+
+
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.ToxicityModel:
     """Trained on the labels whose crc32 remainder by 5 is not 0."""
     return toxicity.fit(docs, labels.filter(crc_remainder("doc_id", 5) != 0).select("doc_id", "toxic"))
