@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import near_dup, packing, pii, toxicity, url_rules
+from barloom.llm import mixing, near_dup, packing, pii, toxicity, url_rules
 from barloom.llm.common import Query, crc_remainder, table
 
 QUERIES: dict[str, Query] = {}
@@ -35,6 +35,12 @@ def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes from every document."""
+    return mixing.mixed_sizes(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.ToxicityModel:
     """Trained on the labels whose crc32 remainder by 5 is not 0."""
     return toxicity.fit(docs, labels.filter(crc_remainder("doc_id", 5) != 0).select("doc_id", "toxic"))
