@@ -323,3 +323,11 @@ def redacted(text: Column, spans: Column) -> Column:
         lambda acc: F.concat(acc["out"], F.substr(whole, acc["at"] + 1)),
     )
     return F.when(F.size(spans) > 0, folded).otherwise(text)
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """``docs`` with every found span of ``text`` replaced by its kind; ``n_chars``, if there, follows."""
+    clean = find(docs.drop("spans")).withColumn("text", redacted(F.col("text"), F.col("spans")))
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return clean.select(*[name for name in docs.columns if name != "spans"])
