@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import mixing, near_dup, packing, pii, toxicity, url_rules
+from barloom.llm import mixing, near_dup, order_minhash, packing, pii, toxicity, url_rules
 from barloom.llm.common import Query, crc_remainder, table
 
 QUERIES: dict[str, Query] = {}
@@ -66,6 +66,12 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text."""
+    return order_minhash.fingerprints(table(spark, sf_dir, "documents"))
+
+
 #: The rules of the query: host, path prefix, verdict.
 URL_RULES = [
     ("com", "/", "allow"),
