@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import mixing, near_dup, order_minhash, packing, pii, toxicity, url_rules
+from barloom.llm import language, mixing, near_dup, order_minhash, packing, pii, toxicity, url_rules
 from barloom.llm.common import Query, crc_remainder, table
 
 QUERIES: dict[str, Query] = {}
@@ -72,6 +72,18 @@ def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.fingerprints(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned where the crc32 remainder by 4 is not 2. Rows with a null id
+    count as not held out, and teach nothing."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_remainder("doc_id", 4) == 2
+    model = language.fit(docs.filter(~held_out).select("text", "lang"))
+    return language.classify(docs.select("doc_id", "text"), model).select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score"
+    )
+
+
 #: The rules of the query: host, path prefix, verdict.
 URL_RULES = [
     ("com", "/", "allow"),
