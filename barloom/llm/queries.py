@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import language, mixing, near_dup, order_minhash, packing, pii, toxicity, url_rules
+from barloom.llm import language, mixing, near_dup, order_minhash, packing, pii, rp_forest, toxicity, url_rules
 from barloom.llm.common import Query, crc_remainder, table
 
 QUERIES: dict[str, Query] = {}
@@ -129,3 +129,9 @@ SELECT page_id, host, path, rule, coalesce(best.verdict, 'allow') AS verdict FRO
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of near duplicates of every document."""
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every vector whose id is divisible by 20."""
+    return rp_forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
