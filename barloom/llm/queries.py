@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import language, mixing, near_dup, order_minhash, packing, pii, rp_forest, toxicity, url_rules
+from barloom.llm import language, licences, mixing, near_dup, order_minhash, packing, pii, rp_forest, toxicity, url_rules
 from barloom.llm.common import Query, crc_remainder, table
 
 QUERIES: dict[str, Query] = {}
@@ -72,6 +72,32 @@ def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.fingerprints(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical digest, licence and licence notices of every document."""
+    known = spark.createDataFrame(licences.KNOWN, "licence string, text string")
+    return licences.scan(table(spark, sf_dir, "documents"), known)
+
+
+_KNOWN_SQL = ", ".join(f"('{name}', '{text}')" for name, text in licences.KNOWN)
+ORACLES["op6_licences"] = f"""
+WITH known(licence, text) AS (VALUES {_KNOWN_SQL}),
+listed AS (SELECT sha256({licences.canonical_sql('text')}) AS digest, min(licence) AS licence FROM known GROUP BY 1),
+docs AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text FROM documents),
+whole AS (SELECT n, doc_id, text, {licences.canonical_sql('text')} AS words FROM docs),
+lines AS (
+    SELECT n, {licences.canonical_sql('line')} AS words
+    FROM (SELECT n, unnest(string_split(translate(text, chr(13), chr(10)), chr(10))) AS line FROM docs)
+),
+notices AS (
+    SELECT n, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notices
+    FROM lines JOIN listed ON words <> '' AND sha256(words) = digest GROUP BY n
+)
+SELECT doc_id, CASE WHEN words <> '' THEN sha256(words) END AS digest, licence, coalesce(notices, '') AS notices
+FROM whole LEFT JOIN listed ON words <> '' AND sha256(words) = digest LEFT JOIN notices USING (n)
+"""
+
+
 @query
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned where the crc32 remainder by 4 is not 2. Rows with a null id
