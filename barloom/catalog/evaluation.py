@@ -185,9 +185,10 @@ def final_return_by_series(spark, sf):
 @query(
     "compare_curves",
     "equity baseline whole_baseline",
-    f"""SELECT date, {r('equity', -1)} AS equity, series FROM ({CURVES_SQL}
+    f"""SELECT date, {r('equity', -1)} AS equity, series,
+        {r(f'arg_max(equity, date) OVER (PARTITION BY series) / {t.CASH} - 1', 6)} AS total_return FROM ({CURVES_SQL}
         UNION ALL SELECT date, equity, 'baseline' AS series FROM whole_baseline)""",
 )
 def compare_curves(spark, sf):
     curves = read_curves(spark, curve_files(spark, sf))
-    return tidy(metrics.compare_curves(curves, t.bars(spark, sf), t.CASH), -1)
+    return tidy(metrics.compare_curves(curves, t.bars(spark, sf), t.CASH), -1, total_return=6)

@@ -10,7 +10,7 @@ from barloom.operators import history as ops
 from barloom.plans.features import consolidate
 from barloom.session import scratch_path
 from barloom.sources.history import read_history, write_history
-from barloom.streaming.bars import compact, read_upserted, stream_adjust, stream_upsert
+from barloom.streaming.bars import by_file_time, compact, read_upserted, stream_adjust, stream_upsert
 
 BAR_SQL = "market, code, date, " + ", ".join(
     f"{r(c)} AS {c}" for c in ("open", "high", "low", "close", "volume")
@@ -224,7 +224,7 @@ def upsert(spark, sf):
     for frame in (t.stored(spark, sf), t.refetched(spark, sf)):
         schema = frame.schema
         frame.write.mode("append").parquet(landing)
-        stream = spark.readStream.schema(schema).parquet(landing)
+        stream = by_file_time(spark.readStream.schema(schema).parquet(landing))
         stream_upsert(stream, log, checkpoint).awaitTermination()
     return tidy(read_upserted(spark, log))
 
@@ -249,7 +249,7 @@ def adjust_stream(spark, sf):
         t.markets(spark, sf).select("code", "market"), "code"
     )
     payloads.write.parquet(landing)
-    stream = spark.readStream.schema(payloads.schema).parquet(landing)
+    stream = by_file_time(spark.readStream.schema(payloads.schema).parquet(landing))
     stream_upsert(
         stream_adjust(stream), log, scratch_path(spark, "stream")
     ).awaitTermination()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.catalog.tables import CTES
+from barloom.functions.signals import is_finite
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,8 +35,10 @@ def r(expr: str, digits: int = 4) -> str:
 
 def rounded(value: Column, digits: int) -> Column:
     """The same rounding on the Spark side."""
-    unit = scale(digits)
-    return F.try_divide(F.floor(value.cast("double") * (unit * NUDGE) + 0.5), F.lit(unit))
+    unit, wide = scale(digits), value.cast("double")
+    units = F.try_divide(F.floor(wide * (unit * NUDGE) + 0.5), F.lit(unit))
+    # NaN and the infinities stay what they are, as they do in SQL.
+    return F.when(is_finite(wide), units).otherwise(wide)
 
 
 def tidy(df: DataFrame, digits: int = 4, **own: int | None) -> DataFrame:

@@ -43,7 +43,7 @@ def score_gru(spark, sf):
 def fitted(spark, sf):
     train = windows.tagged_split(t.labelled(spark, sf), t.CUTOFF, t.STEPS)
     train = train.filter(F.col("side") == "train").drop("side")
-    return scoring.fit_huber(train, t.STEPS, max_iter=5)
+    return scoring.fit_huber(train, t.STEPS)
 
 
 @query("fit_huber")
@@ -196,4 +196,4 @@ def rank_latest(spark, sf):
         CAST(row_number() OVER (ORDER BY score DESC, ticker) AS INTEGER) AS rank FROM latest""",
 )
 def rank(spark, sf):
-    return tidy(scoring.rank(t.bars(spark, sf), t.RANK_SCORER, t.RANK_STEPS), 6)
+    return tidy(scoring.rank(t.bars(spark, sf), t.SCORER, t.STEPS, lookback_days=t.RANK_DAYS), 6)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.functions import pricing
+from barloom.functions.signals import is_finite
 from barloom.operators.history import since, until
 from barloom.operators.panel import along
 from barloom.operators.ranking import top_k
@@ -23,7 +24,7 @@ HORIZON = 25
 THRESHOLD = 0.005
 SLOTS = 10
 CASH = 1_000_000_000.0
-RANK_STEPS = 2  # the tail of the history holds few bars per ticker
+RANK_DAYS = 240  # calendar days that hold more than STEPS bars of most tickers in this sparse history
 BOOK_LOT = 25  # volume per lot of a position
 CUTOFF = "2000-01-01"
 REFETCH_FROM = "2001-01-01"
@@ -130,13 +131,13 @@ class Rounded:
         self.inner, self.unit = inner, float(10**digits)
 
     def score(self, frame: DataFrame, steps: int) -> DataFrame:
-        return self.inner.score(frame, steps).withColumn(
-            "score", F.floor(F.col("score") * self.unit + 0.5) / self.unit
-        )
+        # What is not finite stays so; floor would turn it into a number.
+        score = F.col("score")
+        units = F.floor(score * self.unit + 0.5) / self.unit
+        return self.inner.score(frame, steps).withColumn("score", F.when(is_finite(score), units).otherwise(score))
 
 
 SCORER = Rounded(scoring.momentum_scorer(STEPS))
-RANK_SCORER = Rounded(scoring.momentum_scorer(RANK_STEPS))
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
@@ -241,7 +242,7 @@ def positions(spark: SparkSession, sf: str) -> DataFrame:
 
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Each account's strongest names by their latest score."""
-    latest = scoring.latest_scores(bars(spark, sf), RANK_SCORER, RANK_STEPS)
+    latest = scoring.latest_scores(bars(spark, sf), SCORER, STEPS, lookback_days=RANK_DAYS)
     mine = latest.join(
         markets(spark, sf).select(F.col("code").alias("ticker"), "account"), "ticker"
     )
@@ -507,14 +508,14 @@ CTES: dict[str, tuple[str, str]] = {
     "tail": (
         "bars",
         f"""SELECT * FROM bars
-            WHERE date >= (SELECT max(date) FROM bars) - {2 * RANK_STEPS + 10}""",
+            WHERE date >= (SELECT max(date) FROM bars) - {RANK_DAYS}""",
     ),
     "latest": (
         "tail",
         f"""SELECT ticker, date, floor((mean_return - 0.1 * CAST(CAST(range_cs AS FLOAT) AS DOUBLE)) * 1e9 + 0.5) / 1e9
             AS score FROM (
             SELECT *, avg(CAST(CAST(close_return AS FLOAT) AS DOUBLE)) OVER (PARTITION BY ticker
-                ORDER BY date ROWS BETWEEN {RANK_STEPS - 1} PRECEDING AND CURRENT ROW) AS mean_return,
+                ORDER BY date ROWS BETWEEN {STEPS - 1} PRECEDING AND CURRENT ROW) AS mean_return,
             row_number() OVER (PARTITION BY ticker ORDER BY date) AS n,
             row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS age FROM (
             SELECT *, (range - avg(range) OVER d) / (stddev_samp(range) OVER d + 1e-8) AS range_cs,
@@ -524,7 +525,7 @@ CTES: dict[str, tuple[str, str]] = {
             ln(CAST(high AS DOUBLE) / CAST(low AS DOUBLE)) AS range FROM tail)
             WINDOW d AS (PARTITION BY date))
             WHERE close_return IS NOT NULL AND returns > 1 AND range_cs IS NOT NULL)
-            WHERE n >= {RANK_STEPS} AND age = 1""",
+            WHERE n >= {STEPS} AND age = 1""",
     ),
     "candidates": (
         "latest markets",

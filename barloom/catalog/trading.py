@@ -201,11 +201,15 @@ def score_weights(spark, sf):
     "day_bars",
     f"""SELECT date, ticker, {r(f'1000000 * ({WEIGHT})', 2)} AS target FROM (
         SELECT * FROM day_bars WHERE score > {t.THRESHOLD} QUALIFY row_number() OVER
-        (PARTITION BY date ORDER BY score DESC, ticker) <= {t.SLOTS}) WINDOW d AS (PARTITION BY date)""",
+        (PARTITION BY date ORDER BY score DESC, ticker) <= {t.SLOTS} - day(date) % {t.SLOTS + 1})
+        WINDOW d AS (PARTITION BY date)""",
 )
 def score_targets(spark, sf):
-    wanted = ranking.above(t.day_bars(spark, sf), t.THRESHOLD).withColumn("cash", F.lit(1e6))
-    df = ranking.score_targets(wanted, t.SLOTS)
+    """The book holds from none to all of its slots, by the day of the month."""
+    wanted = ranking.above(t.day_bars(spark, sf), t.THRESHOLD).withColumns(
+        {"cash": F.lit(1e6), "held": F.dayofmonth("date") % (t.SLOTS + 1)}
+    )
+    df = ranking.score_targets(wanted, t.SLOTS, held="held")
     return tidy(df.select("date", "ticker", "target"), 2)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from barloom.functions.signals import is_finite
 from barloom.schemas import LOW_HIGH, OPEN_FILL
 
 # Fixed values of the market: lot size, fee rates and tick bands.
@@ -27,15 +28,15 @@ def tick_size(price: Column) -> Column:
 
 
 def tick_floor(price: Column) -> Column:
-    """Highest legal price not above ``price``."""
+    """Highest legal price not above ``price``; null unless the price is finite."""
     tick = tick_size(price)
-    return F.floor(price / tick + TICK_SLACK) * tick
+    return F.when(is_finite(price), F.floor(price / tick + TICK_SLACK) * tick)
 
 
 def tick_ceil(price: Column) -> Column:
-    """Lowest legal price not below ``price``."""
+    """Lowest legal price not below ``price``; null unless the price is finite."""
     tick = tick_size(price)
-    return F.ceil(price / tick - TICK_SLACK) * tick
+    return F.when(is_finite(price), F.ceil(price / tick - TICK_SLACK) * tick)
 
 
 def _fill_source(fill: str, extreme: str) -> Column:

@@ -150,7 +150,11 @@ def quote_coverage(quotes: DataFrame) -> DataFrame:
 def compare_curves(
     curves: DataFrame, bars: DataFrame, start_cash: float, baseline: str = "baseline"
 ) -> DataFrame:
-    """Labelled curves plus the equal-weight baseline over the days they span."""
+    """Labelled curves plus the equal-weight baseline over the days they span.
+
+    Every point carries its series' total return in ``total_return``, the baseline's included.
+    """
     first, last = curves.agg(F.min("date"), F.max("date")).first()
     held = baseline_curve(bars, first, last, start_cash).withColumn("series", F.lit(baseline))
-    return curves.select("date", "equity", "series").unionByName(held)
+    points = curves.select("date", "equity", "series").unionByName(held)
+    return points.join(final_returns(points, start_cash), "series").select("date", "equity", "series", "total_return")

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from barloom.functions.signals import is_positive
 from barloom.operators.spread import join_stats, rank_within, top_in_group
 
-SMALL_SAMPLE = 10_000
-
 
 def strongest_first() -> list[Column]:
     """Score descending, ticker ascending among equals."""
@@ -54,12 +52,16 @@ def score_weights(df: DataFrame, by: str = "date") -> DataFrame:
     return join_stats(df, by, stats).withColumn("weight", weight).drop("_total", "_n")
 
 
-def score_targets(candidates: DataFrame, slots: int) -> DataFrame:
-    """Cash target of the strongest ``slots`` candidates of each date, in proportion to score.
+def score_targets(candidates: DataFrame, slots: int, held: str | None = None) -> DataFrame:
+    """Cash target of the strongest candidates of each date, in proportion to score.
 
-    ``candidates`` carries the ``cash`` of its date. Names beyond the slots have no target.
+    ``candidates`` carries the ``cash`` of its date and, in the column ``held``, how many of the
+    ``slots`` positions are taken that day; without it all are open. Names beyond the open slots have no
+    target, and a full book has none at all.
     """
     chosen = top_in_group(candidates, "date", strongest_first(), slots, "rank")
+    if held is not None:
+        chosen = chosen.filter(F.col("rank") <= slots - F.coalesce(held, F.lit(0)))
     return score_weights(chosen).withColumn("target", F.col("cash") * F.col("weight"))
 
 
@@ -71,8 +73,6 @@ def _lottery(*keys: str, seed: int) -> Column:
 def _sample_keys(keys: DataFrame, draw: Column, n: int) -> DataFrame:
     drawn = keys.withColumn("_draw", draw)
     names = keys.columns
-    if n <= SMALL_SAMPLE:
-        return F.broadcast(drawn.orderBy("_draw", *names).limit(n).select(*names))
     order = [F.asc("_draw"), *[F.asc(c) for c in names]]
     return rank_within(drawn, [], order, "_rank").filter(F.col("_rank") <= n).select(*names)
 

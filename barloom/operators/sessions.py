@@ -60,12 +60,17 @@ def calendar(holidays: DataFrame, first: dt.date | str, last: dt.date | str) ->
     )
 
 
+def _one_per_date(days: DataFrame, value: str) -> DataFrame:
+    """A caller's ``days`` may repeat dates; what is broadcast has one row for each."""
+    return per_day(days.groupBy("date").agg(F.max(value).alias(value)))
+
+
 def next_session(dates: DataFrame, days: DataFrame) -> DataFrame:
-    return dates.join(per_day(days.select("date", "next_session")), "date", "left")
+    return dates.join(_one_per_date(days, "next_session"), "date", "left")
 
 
 def prev_session(dates: DataFrame, days: DataFrame) -> DataFrame:
-    return dates.join(per_day(days.select("date", "prev_session")), "date", "left")
+    return dates.join(_one_per_date(days, "prev_session"), "date", "left")
 
 
 def session_for(
@@ -74,12 +79,12 @@ def session_for(
     """Session an order placed at the UTC instant ``at`` executes in, and the one before it."""
     local = _local_time(F.col(at))
     placed = orders.withColumn("_local", local).withColumn("date", F.to_date("_local"))
-    today = days.select("date", "kind", "next_session")
+    today = days.groupBy("date").agg(F.max("kind").alias("kind"), F.max("next_session").alias("next_session"))
     in_time = F.date_format("_local", "HH:mm:ss") < cutoff
     session = F.when((F.col("kind") == "trading") & in_time, F.col("date")).otherwise(
         F.col("next_session")
     )
-    before = days.select(F.col("date").alias("session"), F.col("prev_session").alias("prior"))
+    before = days.groupBy(F.col("date").alias("session")).agg(F.max("prev_session").alias("prior"))
     return (
         placed.join(per_day(today), "date", "left")
         .withColumn("session", session)

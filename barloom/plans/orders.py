@@ -32,15 +32,17 @@ def plan_buys(
     budget: Column,
     slots: int,
     account: str = "account",
+    longest: int = 1000,
 ) -> DataFrame:
     """Buy orders of each account, strongest name first, until its cash runs out.
 
-    ``candidates`` has the account, ticker and rank, with at most ``slots`` names per account as
-    :func:`top_k` leaves them, so an account's list is short. Every name aims at an equal share of
+    ``candidates`` has the account, ticker and rank. An account's list ends at rank ``longest``, and names
+    without a legal price are left out, so the list that is folded is bounded. Every name aims at an equal share of
     the budget; what a name costs is gone for the names after it, hence the fold in rank order.
     """
     target = F.col("budget") / max(slots, 1)
-    priced = candidates_quotes(candidates.withColumn("budget", budget), entry_quote(quotes))
+    within = candidates.filter(F.col("rank") <= longest).withColumn("budget", budget)
+    priced = candidates_quotes(within, entry_quote(quotes)).filter(pricing.tick_ceil(F.col("entry")).isNotNull())
     name = F.struct(
         "rank", F.col("ticker").alias("code"), pricing.tick_ceil(F.col("entry")).alias("price")
     )

@@ -199,17 +199,26 @@ def score(
     return history.since(scored, since) if since is not None else scored
 
 
-def latest_scores(bars: DataFrame, scorer, steps: int = STEPS, entity: str = "code") -> DataFrame:
-    """Score of each ticker's last window, read from the tail of the history only."""
-    tail = history.recent(bars, 2 * steps + 10)
+def latest_scores(
+    bars: DataFrame, scorer, steps: int = STEPS, entity: str = "code", lookback_days: int | None = None
+) -> DataFrame:
+    """Score of each ticker's last window, read from the tail of the history only.
+
+    The tail is the last ``lookback_days`` calendar days, by default ``2 * steps + 10``, which hold
+    ``steps`` sessions and the bar before them. A ticker with fewer bars in the tail has no score; sparse
+    histories need a longer look-back.
+    """
+    tail = history.recent(bars, 2 * steps + 10 if lookback_days is None else lookback_days)
     scored = score(standardize(tail, entity), scorer, steps)
     newest = scored.groupBy("ticker").agg(F.max("date").alias("date"), F.max_by("score", "date").alias("score"))
     return newest.select("ticker", "date", "score")
 
 
-def rank(bars: DataFrame, scorer, steps: int = STEPS, entity: str = "code") -> DataFrame:
+def rank(
+    bars: DataFrame, scorer, steps: int = STEPS, entity: str = "code", lookback_days: int | None = None
+) -> DataFrame:
     """All tickers by the score of their last window, strongest first."""
-    return rank_latest(latest_scores(bars, scorer, steps, entity))
+    return rank_latest(latest_scores(bars, scorer, steps, entity, lookback_days))
 
 
 def day_bars(

@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -72,16 +74,39 @@ def ship_package(spark: SparkSession) -> None:
     context._barloom_shipped = True
 
 
+#: Paths made inside each open ``scratch`` block.
+_OWNED: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove what ``scratch_path`` and ``cut_lineage`` make inside the block when it ends.
+
+    Results that read those files have to be written or collected before that.
+    """
+    _OWNED.append([])
+    try:
+        yield
+    finally:
+        for path in _OWNED.pop():
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/barloom-{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder; it stays unless a ``scratch`` block owns it."""
+    path = f"{shared_dir(spark)}/barloom-{name}-{uuid.uuid4().hex}"
+    if _OWNED:
+        _OWNED[-1].append(path)
+    return path
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Later passes then see the very same rows, whatever executor is lost. Unlike a checkpoint, which
-    computes its input once to count and once to write, the rows are computed once.
+    computes its input once to count and once to write, the rows are computed once. The job runs at once,
+    while the caller's plan is built; see ``scratch`` for who removes the files.
     """
     path = scratch_path(df.sparkSession, "cut")
     df.write.parquet(path)

@@ -117,14 +117,15 @@ def decode_positions(df: DataFrame, payload: str = "json") -> DataFrame:
 
 def _following_text(html: Column, label: str) -> Column:
     """Text of the element after the ``div`` whose text is ``label``."""
-    # Inline tags and blanks may surround the label; text and comments may follow its div. The
-    # value runs to the closing tag of its own element.
-    pad = r"(?:\s|<(?!/?div\b)[^>]*>)*"
+    # Inline tags and blanks may surround the label; text may follow its div. The value runs to the
+    # closing tag of its own element. Comments go first, and every repeat is possessive, so that the
+    # match neither steps back nor nests however much text a page has.
+    pad = r"(?:\s++|<(?!/?div\b)[^>]*+>)*+"
     pattern = (
-        rf"(?is)<div\b[^>]*>{pad}\Q{label}\E{pad}</div>(?:[^<]|<!--.*?-->)*"
-        r"<([a-z][a-z0-9]*)\b[^>]*>(.*?)</\1\s*>"
+        rf"(?is)<div\b[^>]*+>{pad}\Q{label}\E{pad}</div>[^<]*+"
+        r"<([a-z][a-z0-9]*+)\b[^>]*+>(.*?)</\1\s*+>"
     )
-    found = F.regexp_extract(html, pattern, 2)
+    found = F.regexp_extract(F.regexp_replace(html, "(?s)<!--.*?-->", ""), pattern, 2)
     return F.regexp_replace(found, "<[^>]*>", "")
 
 

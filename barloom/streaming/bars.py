@@ -1,12 +1,17 @@
 """Incremental bar history with Structured Streaming.
 
-Each micro-batch is written to a folder of its own, named by the batch, so a replayed batch
-replaces exactly what it wrote before and no stored row is ever rewritten in place. Readers keep
-the newest row per key; :func:`compact` turns the log into a plain history table.
+The log is a folder per run and micro-batch, split by year: ``run=<id>/batch=<n>/year=<y>``. The run is the
+query's own id, which its checkpoint keeps, so a replayed batch replaces exactly what it wrote before and
+a new checkpoint never touches what an older one stored. Every row carries the order of its copy, and
+readers keep the newest per key, however the stream was cut into batches.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,18 +22,37 @@ from barloom.schemas import BAR_COLUMNS, BARS
 from barloom.sources.history import write_history
 from barloom.sources.payloads import decode_chart
 
+LOG = T.StructType([
+    *BARS.fields,
+    T.StructField("source_seq", T.LongType()),
+    T.StructField("run", T.StringType()),
+    T.StructField("batch", T.LongType()),
+    T.StructField("year", T.IntegerType()),
+])
+
 
 def stream_adjust(stream: DataFrame, payload: str = "json") -> DataFrame:
-    """Chart payloads of a stream as adjusted canonical bars; ``market`` and ``code`` ride along."""
-    return canonical(adjust(decode_chart(stream, payload)))
+    """Chart payloads of a stream as adjusted canonical bars; ``market``, ``code`` and an order ride along."""
+    adjusted = adjust(decode_chart(stream, payload))
+    return adjusted.select(*BAR_COLUMNS, *[c for c in ("source_seq",) if c in adjusted.columns])
+
+
+def by_file_time(stream: DataFrame) -> DataFrame:
+    """Add ``source_seq``, the time at which a file stream's file was last written, in microseconds."""
+    return stream.select("*", F.unix_micros("_metadata.file_modification_time").alias("source_seq"))
 
 
-def upsert_batch(batch: DataFrame, batch_id: int, path: str, order: str | None = None) -> None:
+def run_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a query's checkpoint keeps for it over restarts."""
+    return json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first().value)["id"]
+
+
+def upsert_batch(batch: DataFrame, batch_id: int, path: str, run: str, order: str = "source_seq") -> None:
     """Write one batch, its newest row per key, replacing an earlier attempt at the same batch."""
-    age = F.col(order) if order else F.lit(0)
-    newest = keep_newest(batch.withColumn("source_seq", age).select(*BAR_COLUMNS, "source_seq"))
-    newest.drop("source_seq").write.mode("overwrite").option("compression", "zstd").parquet(
-        f"{path}/source_seq={int(batch_id)}"
+    ordered = batch.withColumn("source_seq", F.col(order).cast("long")).select(*BAR_COLUMNS, "source_seq")
+    newest = keep_newest(ordered).withColumn("year", F.year("date"))
+    newest.write.mode("overwrite").option("compression", "zstd").partitionBy("year").parquet(
+        f"{path}/run={run}/batch={int(batch_id)}"
     )
 
 
@@ -36,28 +60,64 @@ def stream_upsert(
     stream: DataFrame,
     path: str,
     checkpoint: str,
-    order: str | None = None,
+    order: str = "source_seq",
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Upsert a stream of bars into the log at ``path``; the newest row per key wins.
 
-    ``order`` names a column that ranks copies of a key within one batch.
+    ``order`` names the column that ranks copies of a key, over all batches and runs; a stream without it
+    is refused, because the result would hang on how files fall into batches. :func:`by_file_time` adds
+    one to streams of files.
     """
+    if order not in stream.columns:
+        raise ValueError(f"the stream has no column {order!r} that ranks copies of a key")
+
+    def write(df: DataFrame, n: int) -> None:
+        upsert_batch(df, n, path, run_id(df.sparkSession, checkpoint), order)
+
     return (
-        stream.writeStream.foreachBatch(lambda df, n: upsert_batch(df, n, path, order))
+        stream.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
 
-def read_upserted(spark: SparkSession, path: str) -> DataFrame:
-    """Current bars of the log: the newest row per key over all batches."""
-    schema = T.StructType([*BARS.fields, T.StructField("source_seq", T.LongType())])
-    log = spark.read.schema(schema).parquet(path)
-    return keep_newest(log, KEYS, "source_seq").select(*BAR_COLUMNS)
+def read_upserted(spark: SparkSession, path: str, since: dt.date | None = None) -> DataFrame:
+    """Current bars of the log: the newest row per key over all batches.
+
+    With ``since``, only bars from that day on; folders of earlier years are not read.
+    """
+    log = spark.read.schema(LOG).option("basePath", path).parquet(path)
+    if since is not None:
+        log = log.filter((F.col("year") >= since.year) & (F.col("date") >= F.lit(since)))
+    return keep_newest(log.select(*BAR_COLUMNS, "source_seq"), KEYS, "source_seq").select(*BAR_COLUMNS)
 
 
 def compact(spark: SparkSession, path: str, target: str) -> DataFrame:
     """Write the current bars as one history table at ``target``."""
     return write_history(read_upserted(spark, path), target)
+
+
+def compact_log(spark: SparkSession, path: str) -> None:
+    """Merge the log's batches into one and retire their folders.
+
+    The merged rows keep their order, and they are in place before any folder goes: a reader meets a row
+    twice or once, never not at all. Batches that arrive meanwhile stay. Streams must not replay a retired
+    batch, so run it between a query's runs.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    merged = [str(s.getPath().toString()) for s in fs.listStatus(hadoop(path)) if s.getPath().getName().startswith("run=")]
+    if not merged:
+        return
+    log = spark.read.schema(LOG).option("basePath", path).parquet(*merged)
+    newest = keep_newest(log.select(*BAR_COLUMNS, "source_seq"), KEYS, "source_seq")
+    # Names with an underscore are invisible to readers until the rename.
+    name = uuid.uuid4().hex
+    newest.withColumn("year", F.year("date")).write.option("compression", "zstd").partitionBy("year").parquet(
+        f"{path}/_merging-{name}/batch=0"
+    )
+    fs.rename(hadoop(f"{path}/_merging-{name}"), hadoop(f"{path}/run=merged-{name}"))
+    for folder in merged:
+        fs.delete(hadoop(folder), True)

@@ -13,7 +13,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from barloom.catalog import QUERIES  # noqa: E402
-from barloom.session import local_session  # noqa: E402
+from barloom.session import local_session, scratch  # noqa: E402
 
 HEADLINE = [
     "top_candidates",
@@ -41,7 +41,8 @@ WINDOWED = {"sliding_windows", "score_linear", "score_gru"}
 
 def run(spark, name: str, sf: str) -> float:
     start = time.perf_counter()
-    QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
+    with scratch(spark):
+        QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
     return time.perf_counter() - start
 
 

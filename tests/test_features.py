@@ -10,7 +10,7 @@ from barloom.plans.features import label_rank, raw_signals, standardize
 
 
 def test_zscore_both_ways(spark):
-    rows = [(d, str(i), v) for d, vs in ((1, (1.0, 2.0, 3.0)), (2, (10.0, 20.0, 30.0)))
+    rows = [(d, str(i), v) for d, vs in ((1, (4.0, 7.5, 11.0)), (2, (-6.0, -5.75, -5.5)))
             for i, v in enumerate(vs)]
     df = spark.createDataFrame(
         [(dt.date(2026, 1, d), t, v) for d, t, v in rows], "date date, ticker string, x double"

@@ -1,4 +1,6 @@
 import datetime as dt
+import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +10,7 @@ from barloom.plans.features import consolidate
 from barloom.schemas import BARS
 from barloom.session import scratch_path
 from barloom.sources.history import read_history, write_history
-from barloom.streaming.bars import compact, read_upserted, stream_upsert, upsert_batch
+from barloom.streaming.bars import by_file_time, compact, compact_log, read_upserted, run_id, stream_upsert, upsert_batch
 
 RAW = "date date, open float, high float, low float, close float, volume float, adjclose float"
 
@@ -105,29 +107,65 @@ def test_round_trip_casts_and_pushes_filters(spark):
     assert "GreaterThanOrEqual(date" in plan
 
 
+def land(spark, folder, rows):
+    spark.createDataFrame(rows, BARS).coalesce(1).write.mode("append").parquet(folder)
+
+
+def upsert(spark, folder, log, state):
+    stream = by_file_time(spark.readStream.schema(BARS).parquet(folder))
+    stream_upsert(stream, log, state).awaitTermination()
+
+
+def stored(spark, log, since=None):
+    return [(r.code, r.date, r.close) for r in read_upserted(spark, log, since).orderBy("code", "date").collect()]
+
+
 def test_stream_upsert_replays(spark):
     d1, d2 = dt.date(2026, 1, 1), dt.date(2026, 1, 2)
     landing, log, state = (scratch_path(spark, n) for n in ("landing", "log", "state"))
-
-    def land(rows):
-        spark.createDataFrame(rows, BARS).coalesce(1).write.mode("append").parquet(landing)
-        stream = spark.readStream.schema(BARS).parquet(landing)
-        stream_upsert(stream, log, state).awaitTermination()
-
-    def current():
-        rows = read_upserted(spark, log).orderBy("date").collect()
-        return [(r.date, r.close) for r in rows]
-
-    land([bar("2330", d1, 100.0)])
-    fresh = [bar("2330", d1, 200.0), bar("2330", d2, 300.0)]
-    land(fresh)
-    assert current() == [(d1, 200.0), (d2, 300.0)]
-    upsert_batch(spark.createDataFrame(fresh, BARS), 1, log)  # the same batch again
-    assert current() == [(d1, 200.0), (d2, 300.0)]
+    land(spark, landing, [bar("2330", d1, 100.0)])
+    upsert(spark, landing, log, state)
+    fresh = [bar("2330", d1, 80.0), bar("2330", d2, 300.0)]
+    land(spark, landing, fresh)
+    upsert(spark, landing, log, state)
+    assert stored(spark, log) == [("2330", d1, 80.0), ("2330", d2, 300.0)]
+    again = spark.createDataFrame(fresh, BARS).withColumn("source_seq", F.lit(1 << 60))
+    upsert_batch(again, 1, log, run_id(spark, state))  # the same batch again
+    assert stored(spark, log) == [("2330", d1, 80.0), ("2330", d2, 300.0)]
     target = scratch_path(spark, "compact")
     assert compact(spark, log, target).count() == 2
 
 
+def test_later_file_wins_in_one_batch_and_a_new_checkpoint_keeps_the_log(spark):
+    d1, d2 = dt.date(2025, 12, 31), dt.date(2026, 1, 2)
+    landing, log = (scratch_path(spark, n) for n in ("landing", "log"))
+    land(spark, landing, [bar("A", d1, 5.0), bar("B", d1, 1.0)])
+    time.sleep(0.05)
+    land(spark, landing, [bar("A", d1, 3.0)])
+    upsert(spark, landing, log, scratch_path(spark, "state"))  # both files at once
+    assert stored(spark, log) == [("A", d1, 3.0), ("B", d1, 1.0)]
+    other = scratch_path(spark, "landing")
+    time.sleep(0.05)
+    land(spark, other, [bar("C", d2, 7.0), bar("B", d1, 0.5)])
+    upsert(spark, other, log, scratch_path(spark, "state"))
+    whole = [("A", d1, 3.0), ("B", d1, 0.5), ("C", d2, 7.0)]
+    assert stored(spark, log) == whole
+    tail = read_upserted(spark, log, since=d2)
+    assert [r.code for r in tail.collect()] == ["C"] and len(tail.inputFiles()) >= 1
+    plan = tail._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(year" in plan
+    compact_log(spark, log)
+    assert stored(spark, log) == whole
+    assert len([f for f in os.listdir(log) if f.startswith("run=")]) == 1
+
+
+def test_a_stream_without_an_order_is_refused(spark):
+    folder = scratch_path(spark, "landing")
+    land(spark, folder, [bar("A", dt.date(2026, 1, 1), 1.0)])
+    with pytest.raises(ValueError):
+        stream_upsert(spark.readStream.schema(BARS).parquet(folder), scratch_path(spark, "log"), scratch_path(spark, "state"))
+
+
 def test_route_market(spark):
     df = spark.createDataFrame(
         [("1", "TWSE"), ("2", "ETF"), ("3", "OTC"), ("4", "ESB")], "code string, type string"

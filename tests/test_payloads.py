@@ -105,6 +105,19 @@ def test_labelled_values(spark):
     assert (row.cash, row.assets, row.gain, row["count"]) == (22606117.0, 101906017.0, 1.906, None)
 
 
+def test_labelled_values_on_large_pages(spark):
+    text = "words <b>and</b> more " * 50_000
+    pages = [
+        f"{text}<div>cash</div>{'x ' * 250_000}<p>12</p>{text}",
+        f"<div>cash</div>{'<!-- note -->' * 20_000}<p>13</p>",
+        f"<div>cash</div><p>{text}",  # never closed
+        f"<div>{'<i> </i>' * 50_000}cash</div> <p>14</p>",
+    ]
+    df = spark.createDataFrame(list(enumerate(pages)), "i int, html string")
+    rows = payloads.extract_labelled(df, "html", {"cash": "cash"}).orderBy("i").collect()
+    assert [r.cash for r in rows] == [12.0, 13.0, None, 14.0]
+
+
 @pytest.mark.parametrize(
     "text, value",
     [("$22,606,117", 22606117.0), ("$ 101,906,017", 101906017.0), ("1.906%", 1.906),

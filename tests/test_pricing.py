@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from barloom.catalog.registry import rounded
 from barloom.functions import pricing
 
 
@@ -18,6 +19,17 @@ def test_tick_rounding(spark):
     assert ceils == pytest.approx([3.77, 66.3, 500.0, 1460.0], abs=1e-9)
 
 
+def test_prices_that_are_not_finite_have_no_tick(spark):
+    odd = [float("nan"), float("inf"), -float("inf"), None]
+    assert column(spark, odd, pricing.tick_floor) == [None] * 4
+    assert column(spark, odd, pricing.tick_ceil) == [None] * 4
+
+
+def test_comparison_tells_odd_values_apart(spark):
+    got = column(spark, [float("nan"), float("inf"), -float("inf"), 0.0, None], lambda v: rounded(v, 4))
+    assert got[0] != got[0] and got[1:] == [float("inf"), -float("inf"), 0.0, None]
+
+
 def test_legal_prices_stay(spark):
     legal = [9.99, 10.05, 49.95, 50.1, 99.9, 100.5, 500.0, 999.0, 1005.0]
     assert column(spark, legal, pricing.tick_floor) == pytest.approx(legal, abs=1e-9)

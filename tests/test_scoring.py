@@ -133,3 +133,14 @@ def test_huber_fit_scores_with_ml(spark, std):
     assert row.ic > 0.99
     loss = metrics.huber_loss(scored.withColumnRenamed("label", "target")).first().huber
     assert loss < 0.05
+
+
+def test_a_short_tail_gives_no_rank(spark):
+    rows = [(code, dt.date(2026, 1, 1) + dt.timedelta(days=7 * i), *[10.0 + i + n] * 4, 100.0)
+            for n, code in enumerate("AB") for i in range(30)]
+    sparse = spark.createDataFrame(rows, "code string, date date, open float, high float, low float, close float, volume float")
+    scorer = scoring.momentum_scorer(20)
+    assert scoring.rank(sparse, scorer, 20).count() == 0
+    found = scoring.rank(sparse, scorer, 20, lookback_days=7 * 25)
+    whole = scoring.rank(sparse, scorer, 20, lookback_days=7 * 40)
+    assert [r.ticker for r in found.collect()] == [r.ticker for r in whole.collect()] and found.count() == 2

@@ -1,10 +1,13 @@
 """Skewed groups: a third of the rows or more under one key."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from barloom.operators import ranking
 from barloom.operators.spread import _sorted_positions, rank_within, running_total
+from barloom.session import cut_lineage, scratch
 
 
 @pytest.fixture(scope="module")
@@ -80,3 +83,11 @@ def test_running_total_matches_a_loop(spark, skewed):
 
 def test_empty_input(spark, skewed):
     assert rank_within(skewed.limit(0), ["date"], [F.asc("ticker")], "n").count() == 0
+
+
+def test_scratch_goes_with_its_block(spark):
+    with scratch(spark):
+        cut = cut_lineage(spark.range(3))
+        (folder,) = {os.path.dirname(f.removeprefix("file://")) for f in cut.inputFiles()}
+        assert cut.count() == 3 and os.path.isdir(folder)
+    assert not os.path.exists(folder)

@@ -97,12 +97,22 @@ def test_exits_match_a_walk(spark):
     assert len({v[0] for v in expected.values()}) >= 4
 
 
+def paid(amount):
+    """Cash for a buy: the amount and its commission, at least the minimum."""
+    return amount + max(amount * 0.001425, 20.0)
+
+
+def received(amount):
+    """Cash from a sell: the amount less commission and tax."""
+    return amount - max(amount * 0.001425, 20.0) - amount * 0.003
+
+
 @pytest.fixture(scope="module")
 def winning(spark):
-    prices = bars(spark, [(1, "A", 0.5, 10.0, 12.0, 11.0), (2, "A", 0.1, 13.0, 16.0, 15.0),
-                          (3, "A", 0.0, 18.0, 20.0, 19.0)])
+    prices = bars(spark, [(1, "Q", 0.3, 24.0, 26.0, 25.5), (2, "Q", 0.2, 26.0, 29.0, 28.0),
+                          (3, "Q", 0.1, 30.0, 33.0, 32.0)])
     actions = spark.createDataFrame(
-        [(day(1), "A", "Buy", "", 10.0, 50_000.0), (day(3), "A", "Sell", "final", 20.0, 50_000.0)],
+        [(day(1), "Q", "Buy", "", 25.0, 7_000.0), (day(3), "Q", "Sell", "final", 32.5, 7_000.0)],
         ACTIONS,
     )
     return prices, actions
@@ -110,48 +120,49 @@ def winning(spark):
 
 def test_winning_trade(spark, winning):
     prices, actions = winning
-    curve = trades.mark_equity(actions, prices, 1e6)
-    values = [r.equity for r in curve.orderBy("date").collect()]
-    assert values == pytest.approx([1_049_287.5, 1_249_287.5, 1_494_862.5])
-    report = metrics.performance_report(trades.round_trips(actions), curve, 1e6).first()
+    cost, proceeds, cash = paid(25.0 * 7_000), received(32.5 * 7_000), 400_000.0
+    expected = [cash - cost + 25.5 * 7_000, cash - cost + 28.0 * 7_000, cash - cost + proceeds]
+    curve = trades.mark_equity(actions, prices, cash)
+    assert [r.equity for r in curve.orderBy("date").collect()] == pytest.approx(expected)
+    report = metrics.performance_report(trades.round_trips(actions), curve, cash).first()
     assert report.trade_count == 1 and report.trading_days == 3 and report.final == 1
-    assert report.final_equity == pytest.approx(1_494_862.5)
-    assert report.cumulative_return == pytest.approx(0.4948625)
+    assert report.final_equity == pytest.approx(expected[-1])
+    assert report.cumulative_return == pytest.approx(expected[-1] / cash - 1)
     assert report.win_rate == 1 and report.profit_factor == float("inf")
-    assert report.avg_win_return == pytest.approx(0.98832, abs=1e-5)
+    assert report.avg_win_return == pytest.approx(proceeds / cost - 1)
     assert report.avg_loss_return == 0
 
 
 def test_mixed_trades(spark):
-    actions = spark.createDataFrame(
-        [(day(1), "A", "Buy", "", 10.0, 100_000.0), (day(1), "B", "Buy", "", 100.0, 9_000.0),
-         (day(2), "A", "Sell", "signal", 20.0, 100_000.0),
-         (day(2), "B", "Sell", "signal", 90.0, 9_000.0)],
-        ACTIONS,
-    )
+    legs = {"V": (41.0, 52.0, 12_000.0), "W": (230.0, 211.5, 3_000.0)}
+    rows = [(day(1), t, "Buy", "", buy, n) for t, (buy, _, n) in legs.items()]
+    rows += [(day(2), t, "Sell", "signal", sell, n) for t, (_, sell, n) in legs.items()]
+    actions = spark.createDataFrame(rows, ACTIONS)
+    costs = {t: paid(buy * n) for t, (buy, _, n) in legs.items()}
+    gains = {t: received(sell * n) - costs[t] for t, (_, sell, n) in legs.items()}
+    assert gains["V"] > 0 > gains["W"]
     trips = trades.round_trips(actions)
-    pnl = {r.ticker: r.pnl for r in trips.collect()}
-    assert pnl["A"] == pytest.approx(989_725) and pnl["B"] == pytest.approx(-94_866.75)
+    assert {r.ticker: r.pnl for r in trips.collect()} == pytest.approx(gains)
     stats = metrics.trade_stats(trips).first()
     assert stats.win_rate == 0.5
-    assert stats.profit_factor == pytest.approx(10.4327, abs=1e-3)
-    assert stats.avg_loss_return == pytest.approx(-0.105258, abs=1e-5)
-    prices = bars(spark, [(d, t, 0.0, 1.0, 1.0, 1.0) for d in (1, 2) for t in "AB"])
-    final = metrics.return_stats(trades.mark_equity(actions, prices, 2e6), 2e6).first()
-    assert final.final_equity == pytest.approx(2_894_858.25)
+    assert stats.profit_factor == pytest.approx(gains["V"] / -gains["W"])
+    assert stats.avg_loss_return == pytest.approx(gains["W"] / costs["W"])
+    prices = bars(spark, [(d, t, 0.0, 1.0, 1.0, 1.0) for d in (1, 2) for t in legs])
+    final = metrics.return_stats(trades.mark_equity(actions, prices, 3e6), 3e6).first()
     # All closed: the gain is the sum of the trades' pnl.
-    assert final.final_equity == pytest.approx(2e6 + sum(pnl.values()))
+    assert final.final_equity == pytest.approx(3e6 + sum(gains.values()))
 
 
 def test_days_without_a_bar_keep_the_mark(spark, winning):
     _, actions = winning
-    prices = bars(spark, [(1, "A", 0.5, 10.0, 12.0, 11.0), (2, "B", 0.1, 13.0, 16.0, 15.0),
-                          (3, "A", 0.0, 18.0, 20.0, 19.0)])
-    values = [r.equity for r in trades.mark_equity(actions, prices, 1e6).orderBy("date").collect()]
-    assert values == pytest.approx([1_049_287.5, 1_049_287.5, 1_494_862.5])
-    dated = spark.createDataFrame([("A", day(2), 10.0)], "ticker string, date date, shares double")
+    prices = bars(spark, [(1, "Q", 0.3, 24.0, 26.0, 25.5), (2, "R", 0.2, 26.0, 29.0, 28.0),
+                          (3, "Q", 0.1, 30.0, 33.0, 32.0)])
+    held = 400_000.0 - paid(25.0 * 7_000)
+    values = [r.equity for r in trades.mark_equity(actions, prices, 400_000.0).orderBy("date").collect()]
+    assert values == pytest.approx([held + 25.5 * 7_000, held + 25.5 * 7_000, held + received(32.5 * 7_000)])
+    dated = spark.createDataFrame([("Q", day(2), 10.0)], "ticker string, date date, shares double")
     row = trades.mark_to_last_close(dated, prices).first()
-    assert (row.mark, row.value) == (11.0, 110.0)
+    assert (row.mark, row.value) == (25.5, 255.0)
 
 
 def test_proceeds_settle_next_day(spark):
@@ -176,13 +187,13 @@ SCORES = "date date, ticker string, score double"
 
 
 def test_rotation(spark):
-    held = spark.createDataFrame([(day(2), "A", 0.2)], SCORES)
-    rival = spark.createDataFrame([(day(2), "B", 0.9)], SCORES)
+    held = spark.createDataFrame([(day(4), "M", -0.35)], SCORES)
+    rival = spark.createDataFrame([(day(4), "N", 0.4)], SCORES)
     row = trades.rotation_pairs(held, rival, 1).first()
-    assert (row.held, row.challenger) == ("A", "B")
+    assert (row.held, row.challenger) == ("M", "N")
     assert trades.rotation_pairs(held, rival, 2).count() == 0  # an open slot is left
-    close = spark.createDataFrame([(day(2), "A", 0.5)], SCORES)
-    near = spark.createDataFrame([(day(2), "B", 0.505)], SCORES)
+    close = spark.createDataFrame([(day(4), "M", 0.11)], SCORES)
+    near = spark.createDataFrame([(day(4), "N", 0.114)], SCORES)
     assert trades.rotation_pairs(close, near, 1).count() == 0
 
 
@@ -205,6 +216,9 @@ def test_score_weights_and_targets(spark):
     assert [r.weight for r in rows] == pytest.approx([0.25, 0.75, 0.5, 0.5])
     targets = ranking.score_targets(df.withColumn("cash", F.lit(100.0)), 1).collect()
     assert {(r.date.day, r.ticker, r.target) for r in targets} == {(1, "B", 100.0), (2, "A", 100.0)}
+    booked = df.withColumns({"cash": F.lit(100.0), "held": F.dayofmonth("date")})
+    open_slots = ranking.score_targets(booked, 2, held="held").collect()
+    assert {(r.date.day, r.ticker, r.target) for r in open_slots} == {(1, "B", 100.0)}
 
 
 def test_sharpe(spark):
