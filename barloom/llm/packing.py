@@ -8,8 +8,9 @@ the pieces by their number within their length. Tokens never leave the tasks.
 
 from __future__ import annotations
 
+import base64
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -19,9 +20,8 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import require
 from barloom.operators.spread import rank_within
+from barloom.session import cut_lineage
 
-#: Words whose token bytes a task remembers, at about 150 bytes each.
-CACHED_WORDS = 200_000
 #: Multiplicative weights: how far one step covers a length, how sharply prices react, the share of the
 #: tokens that may stay uncovered, and a bound on the steps of one solve.
 STEP, SHARPNESS, UNCOVERED, MAX_STEPS = 0.5, 4.0, 0.1, 1500
@@ -31,56 +31,30 @@ ROUNDS = 2
 WASTE = 0
 
 
-class WordTokenizer:
-    """Byte-level BPE ids of a text as little-endian unsigned 32-bit bytes.
+@lru_cache(maxsize=2)
+def tokenizer(folder: str | None = None) -> Callable[[str], bytes]:
+    """Ids of the public 50k byte-level BPE, as little-endian unsigned 32-bit bytes.
 
-    Pre-tokens never span a single space that stands before a character other than white space, so a
-    text splits at its spaces and words that were seen before need no merging. Texts with a longer run
-    of spaces, or with the text of a special token, are encoded whole.
+    ``folder`` holds the vocabulary; by default it is the installed package's. The vocabulary is read as
+    ranks, which give the ids of its JSON form several times faster. As there, the text of the special
+    token counts as that token.
     """
-
-    def __init__(self, ranks_path: str, pattern: str, special: dict[str, int]):
-        import base64
-
-        import tiktoken
-
-        with open(ranks_path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.special = list(special)
-        self.encoding = tiktoken.Encoding(
-            "byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special
-        )
-        self.words: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.asarray(self.encoding.encode(text, allowed_special="all"), "<u4").tobytes()
-
-    def __call__(self, text: str) -> bytes:
-        if "  " in text or any(token in text for token in self.special):
-            return self.whole(text)
-        words, parts = self.words, []
-        first, *rest = text.split(" ")
-        if first:
-            parts.append(self.whole(first))
-        for word in rest:
-            ids = words.get(word)
-            if ids is None:
-                ids = self.whole(" " + word)
-                if len(word) < 64:
-                    if len(words) >= CACHED_WORDS:
-                        words.clear()
-                    words[word] = ids
-            parts.append(ids)
-        return b"".join(parts)
-
-
-@lru_cache(maxsize=2)
-def tokenizer(folder: str | None = None) -> WordTokenizer:
-    """The public 50k byte-level BPE. ``folder`` holds its files; by default the installed package's."""
     import public_tokenizers as public
+    import tiktoken
+
+    path = f"{folder}/byte_bpe_50k.tiktoken" if folder else public.path("byte_bpe_50k.tiktoken")
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    special = "<|endoftext|>"
+    encoding = tiktoken.Encoding(
+        "byte_bpe_50k", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={special: 50256}
+    )
+
+    def encode(text: str) -> bytes:
+        ids = encoding.encode(text, allowed_special="all") if special in text else encoding.encode_ordinary(text)
+        return np.array(ids, "<u4").tobytes()
 
-    ranks = f"{folder}/byte_bpe_50k.tiktoken" if folder else public.path("byte_bpe_50k.tiktoken")
-    return WordTokenizer(ranks, public.PATTERN, {"<|endoftext|>": 50256})
+    return encode
 
 
 def token_pieces(
@@ -252,8 +226,9 @@ def place_pieces(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
 
     The lengths are counted, the plan is made on the driver from at most ``capacity`` counts, and the
     plan's rows are broadcast: each is a length in a filling, and the fillings number at most a few
-    thousand for any input. Runs two jobs. An empty table gives an empty table.
+    thousand for any input. The pieces are written to the shared folder first, so that tokens are made once. An empty table gives an empty table.
     """
+    pieces = cut_lineage(pieces)  # ranking samples its input before it reads it
     ranked = rank_within(pieces, ["length"], [F.col("doc_id"), F.col("piece")], "_rank")
     histogram = {int(n): int(c) for n, c in ranked.groupBy("length").count().collect()}
     rows = _places(plan_sequences(histogram, capacity))
