@@ -5,9 +5,10 @@ places, the other, turned by one place for each coordinate, ranks them. Document
 rows of a band share a bucket.
 
 Buckets are resolved without emitting their pairs. Documents with equal shingle sets collapse to the
-one with the smallest id. Then each bucket picks pivots, and pivots are compared with the bucket's other
-members; links merge components; only buckets whose members are still in several components, with
-pairs that were never compared, pick more pivots. A bucket of near copies is done after one pivot.
+one with the smallest id. Then each bucket's document with the smallest id, its pivot, is compared with
+the others, which settles a bucket of near copies. Where a bucket's other members are in several
+components, these members are compared across components wherever their rarest shingles meet, which
+misses no pair above the threshold and meets few below it.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import require
@@ -136,20 +137,15 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the pairs (``u``, ``v``) whose full shingle sets are similar enough."""
-    wanted = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
-    sets = cut_lineage(
-        docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "id bigint, shingles array<bigint>")
-    )
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (``u``, ``v``) whose full shingle sets (``id``, ``shingles``) are similar enough."""
     left = sets.select(F.col("id").alias("u"), F.col("shingles").alias("a"))
     right = sets.select(F.col("id").alias("v"), F.col("shingles").alias("b"))
-    common = F.size(F.array_intersect("a", "b"))
     union = F.size("a") + F.size("b") - F.col("common")
     return (
         pairs.join(left, "u")
         .join(right, "v")
-        .withColumn("common", common)
+        .withColumn("common", F.size(F.array_intersect("a", "b")))
         .filter(100 * F.col("common") >= 75 * union)
         .select("u", "v")
     )
@@ -164,14 +160,46 @@ def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     return cut_lineage(labels.join(roots, "label", "left").select("id", F.coalesce("root", "label").alias("label")))
 
 
-def _pairs(pivots: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs of pivots (``bucket``, ``p``, ``pn``, ``pl``) with members of the same bucket that are in
-    another component and whose size doesn't rule out the threshold."""
-    smaller, larger = F.least("n", "pn"), F.greatest("n", "pn")
+def _similar_size(n: Column, m: Column) -> Column:
+    return 100 * F.least(n, m) >= 75 * F.greatest(n, m)
+
+
+def _prefix_pairs(live: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of ``live`` documents (``id``, ``label``) of different components that can be similar enough.
+
+    Of two documents above the threshold, each has at least one of the other's rarest quarter of shingles
+    among its own rarest quarter, by one common order. Shingles that no other document has lead nowhere, so
+    documents that are a quarter their own drop out unseen. For each shingle, the holders outside its most
+    frequent component meet all holders, so members of one component don't meet.
+    """
+    held = live.join(sets, "id").select("id", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    often = held.groupBy("s").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    ranked = (
+        held.join(often, "s")
+        .groupBy("id", "label", "n")
+        .agg(F.array_sort(F.collect_list(F.struct("often", "s"))).alias("shared"))
+    )
+    # The rarest quarter, less the shingles that are a document's own and come first.
+    own = F.col("n") - F.size("shared")
+    length = F.col("n") - F.ceil(0.75 * F.col("n")).cast("int") + 1 - own
+    prefix = cut_lineage(
+        ranked.filter(length > 0).select("id", "label", "n", F.explode(F.slice("shared", F.lit(1), length)).alias("x"))
+        .select("id", "label", "n", F.col("x.s").alias("s"))
+    )
+    by_label = prefix.groupBy("s", "label").agg(F.count(F.lit(1)).alias("held"))
+    mixed = (
+        by_label.groupBy("s")
+        .agg(F.min("label").alias("lowest"), F.max("label").alias("highest"), F.max_by("label", "held").alias("main"))
+        .filter("lowest <> highest")
+        .select("s", "main")
+    )
+    few = prefix.join(mixed, "s").filter("label <> main").select(
+        "s", F.col("id").alias("p"), F.col("label").alias("pl"), F.col("n").alias("pn")
+    )
     return (
-        members.join(pivots, "bucket")
-        .filter((F.col("label") != F.col("pl")) & (100 * smaller >= 75 * larger))
-        .select(F.greatest("p", "rep").alias("u"), F.least("p", "rep").alias("v"))
+        few.join(prefix, "s")
+        .filter((F.col("label") != F.col("pl")) & _similar_size(F.col("n"), F.col("pn")))
+        .select(F.greatest("p", "id").alias("u"), F.least("p", "id").alias("v"))
         .distinct()
     )
 
@@ -179,46 +207,31 @@ def _pairs(pivots: DataFrame, members: DataFrame) -> DataFrame:
 def _components(members: DataFrame, docs: DataFrame, known: DataFrame) -> DataFrame:
     """Labels (``id``, ``label``) of the representatives that share a bucket with another.
 
-    ``members`` has ``bucket``, ``rep`` and ``n``; ``known`` has links that need no check. A member that
-    was a pivot has been compared with its whole bucket. A bucket is settled when the members that were
-    no pivots are all in one component; the others pick twice as many pivots in each round.
+    ``members`` has ``bucket``, ``rep`` and ``n``; ``known`` has links that need no check.
     """
-    shared = members.groupBy("bucket").agg(F.min("rep").alias("lowest"), F.max("rep").alias("highest"))
-    open_rows = cut_lineage(
-        members.join(shared.filter("lowest <> highest"), "bucket")
-        .select("bucket", "rep", "n", (F.col("rep") == F.col("lowest")).alias("picked"))
+    shared = members.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.max("rep").alias("highest"))
+    rows = cut_lineage(
+        members.join(shared.filter("pivot <> highest"), "bucket").select("bucket", "rep", "n", "pivot")
     )
-    labels = cut_lineage(
-        open_rows.select("rep").union(known.select("u")).union(known.select("v")).distinct()
-        .select(F.col("rep").alias("id"), F.col("rep").alias("label"))
+    sizes = rows.filter("rep = pivot").select("bucket", F.col("n").alias("pn")).distinct()
+    pairs = cut_lineage(
+        rows.filter("rep <> pivot").join(sizes, "bucket").filter(_similar_size(F.col("n"), F.col("pn")))
+        .select(F.col("rep").alias("u"), F.col("pivot").alias("v"))
+        .distinct()
     )
-    open_rows = open_rows.withColumn("label", F.col("rep"))
-    seen, share = None, 1
-    while True:
-        pivots = open_rows.filter("picked").select(
-            "bucket", F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("label").alias("pl")
-        )
-        pairs = _pairs(pivots, open_rows)
-        fresh = cut_lineage(pairs if seen is None else pairs.join(seen, ["u", "v"], "left_anti"))
-        links = _confirmed(fresh, docs)
-        labels = _relabel(labels, links if seen is not None else links.union(known.select("u", "v")))
-        seen = fresh if seen is None else seen.union(fresh)
-        share *= 2
-        left = open_rows.filter("not picked").drop("label", "picked").join(
-            labels.withColumnRenamed("id", "rep"), "rep"
-        )
-        state = left.groupBy("bucket").agg(
-            F.min("label").alias("lowest"), F.max("label").alias("highest"),
-            F.min("rep").alias("first"), F.count(F.lit(1)).alias("held"),
-        ).filter("lowest <> highest")
-        draw = F.pmod(F.xxhash64("rep", F.lit(share)), F.col("held")) < share
-        open_rows = cut_lineage(
-            left.join(state, "bucket").select(
-                "bucket", "rep", "n", (draw | (F.col("rep") == F.col("first"))).alias("picked"), "label"
-            )
-        )
-        if open_rows.isEmpty():
-            return labels
+    involved = rows.select(F.col("rep").alias("doc_id")).distinct()
+    sets = cut_lineage(
+        docs.join(involved, "doc_id", "left_semi").mapInArrow(_sets, "id bigint, shingles array<bigint>")
+    )
+    ids = involved.select(F.col("doc_id").alias("id")).union(known.select("u")).union(known.select("v")).distinct()
+    labels = _relabel(
+        ids.withColumn("label", F.col("id")), _confirmed(pairs, sets).union(known.select("u", "v"))
+    )
+    # The pivot has met its bucket. The others have something left to meet if they are in several components.
+    others = rows.filter("rep <> pivot").select("bucket", F.col("rep").alias("id")).join(labels, "id")
+    unsettled = others.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    live = cut_lineage(others.join(unsettled, "bucket", "left_semi").select("id", "label").distinct())
+    return _relabel(labels, _confirmed(cut_lineage(_prefix_pairs(live, sets)), sets))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
