@@ -48,10 +48,10 @@ def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     letter = _is_letter()[codes]
     if not letter.any():
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    codes = np.where(letter, codes, _GAP)
+    codes = np.concatenate([[_GAP], np.where(letter, codes, _GAP), [_GAP]]).astype(np.uint64)
     keep = np.ones(len(codes), bool)
-    keep[1:] = letter[1:] | letter[:-1]
-    codes = np.concatenate([[_GAP], codes[keep], [_GAP]]).astype(np.uint64)
+    keep[1:] = (codes[1:] != _GAP) | (codes[:-1] != _GAP)
+    codes = codes[keep]
     grams = (codes[:-2] << np.uint64(42)) | (codes[1:-1] << np.uint64(21)) | codes[2:]
     return np.unique(grams, return_counts=True)
 
