@@ -58,6 +58,23 @@ def decode_chart(spark, sf):
     return tidy(payloads.decode_chart(chart_payloads(spark, sf)))
 
 
+@query(
+    "reject_chart",
+    "raw_bars",
+    """SELECT code, CASE CAST(substr(code, 2) AS BIGINT) % 3 WHEN 0 THEN 'no chart data'
+        ELSE 'no adjclose series' END AS error
+        FROM (SELECT DISTINCT code FROM raw_bars) WHERE CAST(substr(code, 2) AS BIGINT) % 3 < 2""",
+)
+def reject_chart(spark, sf):
+    """Payloads of which a third have no result and a third no adjusted series."""
+    kind = F.substring("code", 2, 20).cast("long") % 3
+    broken = F.when(kind == 0, F.lit('{"chart": {"result": []}}')).when(
+        kind == 1, F.replace("json", F.lit('"adjclose":[{'), F.lit('"other":[{'))
+    )
+    landed = chart_payloads(spark, sf).withColumn("json", F.coalesce(broken, "json"))
+    return payloads.reject_chart(landed).select("code", "error")
+
+
 QUOTE_COLUMNS = ("open_price", "high_price", "low_price", "last_price")
 
 

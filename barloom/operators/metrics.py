@@ -52,8 +52,11 @@ def evaluate(scored: DataFrame, delta: float = 1.0) -> DataFrame:
 
 def exit_tally(trades: DataFrame) -> DataFrame:
     """One row: number of trades per exit reason."""
-    counts = [F.count_if(F.col("exit_reason") == r).alias(r) for r in EXIT_REASONS]
-    return trades.agg(*counts)
+    return trades.agg(*_tally())
+
+
+def _tally() -> list[Column]:
+    return [F.count_if(F.col("exit_reason") == r).alias(r) for r in EXIT_REASONS]
 
 
 def _zero_if_null(value: Column) -> Column:
@@ -62,23 +65,34 @@ def _zero_if_null(value: Column) -> Column:
 
 def trade_stats(trades: DataFrame) -> DataFrame:
     """One row: count, win rate, profit factor and mean returns of wins and losses."""
+    return trades.agg(*_trade_stats())
+
+
+def _trade_stats() -> list[Column]:
     won, lost = F.col("pnl") > 0, F.col("pnl") < 0
     gain = _zero_if_null(F.sum(F.when(won, F.col("pnl"))))
     loss = _zero_if_null(F.sum(F.when(lost, F.col("pnl"))))
     factor = F.when(loss < 0, F.try_divide(gain, -loss)).when(gain > 0, INFINITY).otherwise(0.0)
-    return trades.agg(
+    return [
         F.count(F.lit(1)).alias("trade_count"),
         _zero_if_null(F.try_divide(F.count_if(won), F.count(F.lit(1)))).alias("win_rate"),
         factor.alias("profit_factor"),
         _zero_if_null(F.avg(F.when(won, F.col("return_pct")))).alias("avg_win_return"),
         _zero_if_null(F.avg(F.when(lost, F.col("return_pct")))).alias("avg_loss_return"),
-    )
+    ]
 
 
 def return_stats(equity: DataFrame, start_cash: float) -> DataFrame:
     """One row: final equity, cumulative return, linear annual return and day count."""
+    return _with_returns(equity.agg(*_final_state(start_cash)), start_cash)
+
+
+def _final_state(start_cash: float) -> list[Column]:
     final = F.coalesce(F.max_by("equity", "date"), F.lit(float(start_cash)))
-    summary = equity.agg(final.alias("final_equity"), F.count(F.lit(1)).alias("trading_days"))
+    return [final.alias("final_equity"), F.count(F.lit(1)).alias("trading_days")]
+
+
+def _with_returns(summary: DataFrame, start_cash: float) -> DataFrame:
     gain = (F.col("final_equity") - start_cash) / start_cash
     yearly = F.try_divide(F.col("cumulative_return"), F.col("trading_days")) * ANNUAL_DAYS
     return summary.withColumn("cumulative_return", gain).withColumn(
@@ -95,17 +109,19 @@ def daily_return(equity: DataFrame, series: str | None = None) -> DataFrame:
 
 def sharpe(equity: DataFrame, days: int = ANNUAL_DAYS) -> DataFrame:
     """One row: annualised Sharpe ratio; zero for a flat curve or fewer than two days."""
+    return daily_return(equity).agg(_sharpe(days))
+
+
+def _sharpe(days: int = ANNUAL_DAYS) -> Column:
     spread = F.stddev_pop("daily_return")
     ratio = F.when(spread > 0, F.try_divide(F.avg("daily_return"), spread) * math.sqrt(days))
-    return daily_return(equity).agg(_zero_if_null(ratio).alias("sharpe"))
+    return _zero_if_null(ratio).alias("sharpe")
 
 
 def performance_report(trades: DataFrame, equity: DataFrame, start_cash: float) -> DataFrame:
-    """All figures of one evaluation as one wide row."""
-    report = trade_stats(trades)
-    for part in (exit_tally(trades), return_stats(equity, start_cash), sharpe(equity)):
-        report = report.join(one_row(part))
-    return report
+    """All figures of one evaluation as one wide row: one pass over the trades and one over the curve."""
+    curve = _with_returns(daily_return(equity).agg(*_final_state(start_cash), _sharpe()), start_cash)
+    return trades.agg(*_trade_stats(), *_tally()).join(one_row(curve))
 
 
 def priced_at_start(bars: DataFrame, start: object, entity: str = "code") -> DataFrame:

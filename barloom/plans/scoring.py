@@ -82,6 +82,22 @@ def gru_weights(seed: int = 0, hidden: int = 32, head: int = 32) -> dict[str, np
     return weights
 
 
+def read_gru_weights(stored: DataFrame, hidden: int = 32, head: int = 32) -> dict[str, np.ndarray]:
+    """Trained weights from a table with ``name``, ``shape`` and ``values``, one row per array.
+
+    Names and shapes must be those of :func:`gru_weights`; anything else is an error. The table has one
+    row per array, a dozen in all.
+    """
+    expected = {name: array.shape for name, array in gru_weights(0, hidden, head).items()}
+    rows = stored.select("name", "shape", "values").limit(len(expected) + 1).collect()
+    found = {row.name: (tuple(row.shape), row["values"]) for row in rows}
+    wrong = [name for name in found.keys() | expected.keys()
+             if name not in found or found[name][0] != expected.get(name) or len(found[name][1]) != math.prod(found[name][0])]
+    if wrong or len(rows) != len(expected):
+        raise ValueError(f"weights that are missing, repeated or of another shape: {', '.join(sorted(wrong))}")
+    return {name: np.array(values, np.float32).reshape(shape) for name, (shape, values) in found.items()}
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (np.tanh(0.5 * x) + 1.0)
 

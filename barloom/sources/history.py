@@ -29,8 +29,13 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_history(df: DataFrame, path: str) -> DataFrame:
-    """Write zstd Parquet and return the written table."""
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    """Write zstd Parquet, ranged and sorted by date, and return the written table.
+
+    Reads of a span of dates then skip the files and row groups of the others. A date with many bars
+    spans several files, split by code.
+    """
+    ranged = df.repartitionByRange("date", "code").sortWithinPartitions("date", "code")
+    ranged.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

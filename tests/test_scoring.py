@@ -144,3 +144,14 @@ def test_a_short_tail_gives_no_rank(spark):
     found = scoring.rank(sparse, scorer, 20, lookback_days=7 * 25)
     whole = scoring.rank(sparse, scorer, 20, lookback_days=7 * 40)
     assert [r.ticker for r in found.collect()] == [r.ticker for r in whole.collect()] and found.count() == 2
+
+
+def test_weights_come_from_a_table(spark):
+    weights = scoring.gru_weights(seed=3)
+    rows = [(name, list(a.shape), [float(x) for x in a.reshape(-1)]) for name, a in weights.items()]
+    schema = "name string, shape array<int>, values array<float>"
+    read = scoring.read_gru_weights(spark.createDataFrame(rows, schema))
+    assert read.keys() == weights.keys() and all(np.array_equal(read[n], weights[n]) for n in weights)
+    for wrong in (rows[1:], rows + rows[:1], [(rows[0][0], [1], [0.0]), *rows[1:]], [("other", [1], [0.0]), *rows[1:]]):
+        with pytest.raises(ValueError):
+            scoring.read_gru_weights(spark.createDataFrame(wrong, schema))
