@@ -5,8 +5,8 @@ places, the other, turned by one place for each coordinate, ranks them. Document
 rows of a band share a bucket.
 
 Buckets are resolved without emitting their pairs. Documents with equal shingle sets collapse to the
-one with the smallest id. Then each bucket's document with the smallest id, its pivot, is compared with
-the others, which settles a bucket of near copies. Where a bucket's other members are in several
+one with the smallest id. Then each bucket's pivot, the member that shares buckets with the most
+documents, is compared with the others, which settles a bucket of near copies. Where a bucket's other members are in several
 components, these members are compared across components wherever their rarest shingles meet, which
 misses no pair above the threshold and meets few below it.
 """
@@ -183,8 +183,9 @@ def _prefix_pairs(live: DataFrame, sets: DataFrame) -> DataFrame:
     own = F.col("n") - F.size("shared")
     length = F.col("n") - F.ceil(0.75 * F.col("n")).cast("int") + 1 - own
     prefix = cut_lineage(
-        ranked.filter(length > 0).select("id", "label", "n", F.explode(F.slice("shared", F.lit(1), length)).alias("x"))
-        .select("id", "label", "n", F.col("x.s").alias("s"))
+        ranked.filter(length > 0)
+        .select("id", "label", "n", own.alias("own"), F.posexplode(F.slice("shared", F.lit(1), length)).alias("at", "x"))
+        .select("id", "label", "n", F.col("x.s").alias("s"), (F.col("n") - F.col("own") - F.col("at")).alias("left"))
     )
     by_label = prefix.groupBy("s", "label").agg(F.count(F.lit(1)).alias("held"))
     mixed = (
@@ -194,11 +195,13 @@ def _prefix_pairs(live: DataFrame, sets: DataFrame) -> DataFrame:
         .select("s", "main")
     )
     few = prefix.join(mixed, "s").filter("label <> main").select(
-        "s", F.col("id").alias("p"), F.col("label").alias("pl"), F.col("n").alias("pn")
+        "s", F.col("id").alias("p"), F.col("label").alias("pl"), F.col("n").alias("pn"), F.col("left").alias("pleft")
     )
+    # From the first shingle that a pair shares, no more can follow than either has left.
+    reachable = 7 * F.least("left", "pleft") >= 3 * (F.col("n") + F.col("pn"))
     return (
         few.join(prefix, "s")
-        .filter((F.col("label") != F.col("pl")) & _similar_size(F.col("n"), F.col("pn")))
+        .filter((F.col("label") != F.col("pl")) & reachable & _similar_size(F.col("n"), F.col("pn")))
         .select(F.greatest("p", "id").alias("u"), F.least("p", "id").alias("v"))
         .distinct()
     )
@@ -209,14 +212,20 @@ def _components(members: DataFrame, docs: DataFrame, known: DataFrame) -> DataFr
 
     ``members`` has ``bucket``, ``rep`` and ``n``; ``known`` has links that need no check.
     """
-    shared = members.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.max("rep").alias("highest"))
-    rows = cut_lineage(
-        members.join(shared.filter("pivot <> highest"), "bucket").select("bucket", "rep", "n", "pivot")
+    shared = members.groupBy("bucket").agg(
+        F.min("rep").alias("lowest"), F.max("rep").alias("highest"), F.count(F.lit(1)).alias("held")
     )
+    met = cut_lineage(
+        members.join(shared.filter("lowest <> highest"), "bucket").select("bucket", "rep", "n", "held")
+    )
+    # The member that shares buckets with the most documents is the least changed copy.
+    central = met.groupBy("rep").agg(F.sum("held").alias("met"))
+    pivots = met.join(central, "rep").groupBy("bucket").agg(F.max_by("rep", "met").alias("pivot"))
+    rows = cut_lineage(met.join(pivots, "bucket").select("bucket", "rep", "n", "pivot"))
     sizes = rows.filter("rep = pivot").select("bucket", F.col("n").alias("pn")).distinct()
     pairs = cut_lineage(
         rows.filter("rep <> pivot").join(sizes, "bucket").filter(_similar_size(F.col("n"), F.col("pn")))
-        .select(F.col("rep").alias("u"), F.col("pivot").alias("v"))
+        .select(F.greatest("rep", "pivot").alias("u"), F.least("rep", "pivot").alias("v"))
         .distinct()
     )
     involved = rows.select(F.col("rep").alias("doc_id")).distinct()
