@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import require
+from barloom.session import cut_lineage
 
 # The base kinds and their patterns. The look-behinds and possessive repeats start a
 # match only where one can start and never step back, so that long runs cost no more than their length;
@@ -45,6 +46,9 @@ MORE_PATTERNS = {
 }
 PATTERNS = BASE_PATTERNS | MORE_PATTERNS
 KINDS = list(PATTERNS)
+#: What a text must hold for a pattern to match at all; only such texts are searched.
+DIGIT = "_digit"
+NEEDED = {"email": "@", "phone": "+", "ip": DIGIT, "card": DIGIT, "ssn": DIGIT, "iban": DIGIT, "local_phone": DIGIT}
 
 # Gazetteers.
 GIVEN_NAMES = (
@@ -101,8 +105,13 @@ class SpanModel:
     votes: dict[str, tuple[float, float]]
 
 
-def _hits(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+def _hits(text: Column, kind: str) -> Column:
+    found = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
+    needed = NEEDED.get(kind)
+    if needed is None:
+        return found
+    may = F.col(DIGIT) if needed == DIGIT else F.contains(text, F.lit(needed))
+    return F.when(may, found).otherwise(F.array().cast("array<string>"))
 
 
 def _located(text: Column, hits: Column, pattern: str) -> Column:
@@ -177,7 +186,8 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     further kinds that touch a base span are left out. Null and empty texts have none.
     """
     held = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    held = held.withColumns({f"_hits_{k}": _hits(F.col("_text"), p) for k, p in PATTERNS.items()})
+    held = held.withColumn(DIGIT, F.col("_text").rlike("[0-9]"))
+    held = held.withColumns({f"_hits_{k}": _hits(F.col("_text"), k) for k in PATTERNS})
     held = held.withColumns({f"_at_{k}": _located(F.col("_text"), F.col(f"_hits_{k}"), p) for k, p in PATTERNS.items()})
 
     def voted(kind: str) -> Column:
@@ -286,14 +296,17 @@ def decided(found: DataFrame, model: SpanModel) -> DataFrame:
     return found.withColumn("spans", F.array_sort(plain)).drop("_candidates")
 
 
-def find(docs: DataFrame, text: str = "text") -> DataFrame:
+def find(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
     """Add ``spans`` (start, kind number, end, base) to every row of ``docs``; the model is trained on the
-    votes over all of them, in one pass, and the spans are found in a second.
+    votes over all of them.
 
-    Null and empty texts have no spans. Rows and other columns stay; an existing ``spans`` is replaced.
+    Null and empty texts have no spans. Rows and other columns stay, the text unless ``keep_text`` is
+    false; an existing ``spans`` is replaced. Texts are searched once: rows and candidates are written to
+    the shared folder and read for the votes and for the decisions.
     """
     require(docs, [text])
     found = candidates(docs.drop("spans"), text)
+    found = cut_lineage(found if keep_text else found.drop(text))
     return decided(found, fit(vote_counts(found)))
 
 

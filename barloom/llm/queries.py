@@ -20,7 +20,7 @@ def query(fn: Query) -> Query:
 @query
 def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data in every document."""
-    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
     base = F.filter("spans", lambda s: s["base"])
 
     def count(kind: str) -> Column:
