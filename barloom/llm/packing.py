@@ -27,8 +27,6 @@ from barloom.session import cut_lineage
 STEP, SHARPNESS, UNCOVERED, MAX_STEPS = 0.5, 4.0, 0.1, 1500
 #: Solves of the program on what rounding left over, before best fit takes the rest.
 ROUNDS = 2
-#: Fillings that waste more tokens than this are not rounded up into the plan; best fit does better.
-WASTE = 0
 
 
 @lru_cache(maxsize=2)
@@ -176,24 +174,22 @@ def _best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tu
     return plan
 
 
-def plan_sequences(histogram: dict[int, int], capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
-    """Fillings as lists of (length, pieces), each with the number of sequences that use it.
-
-    Every piece of the histogram is placed exactly once. The fractional solution is rounded down, the
-    largest uses first, and solved again for what is left; best fit places the last few.
-    """
-    lengths = np.array(sorted(histogram), int)
-    left = np.array([histogram[n] for n in lengths.tolist()], int)
+def _rounded(
+    lengths: np.ndarray, counts: np.ndarray, capacity: int, most_waste: int, solve: Callable[..., list]
+) -> list[tuple[dict[int, int], int]]:
+    """The fractional solution rounded down, the largest uses first, and solved again for what is left;
+    best fit places the rest. Fillings with more than ``most_waste`` free tokens are left to best fit."""
+    left = counts.copy()
     plan: list[tuple[dict[int, int], int]] = []
     for _ in range(ROUNDS):
         keep = np.flatnonzero(left)
         if not len(keep) or left.sum() <= len(keep):
             break
-        part = fractional_fillings(lengths[keep], left[keep].astype(float), capacity)
+        part = solve(tuple(lengths[keep].tolist()), tuple(left[keep].tolist()))
         before = left.sum()
         for filling, amount in sorted(part, key=lambda x: -x[1]):
             own = {int(keep[i]): m for i, m in filling.items()}
-            if capacity - sum(int(lengths[i]) * m for i, m in own.items()) > WASTE:
+            if capacity - sum(int(lengths[i]) * m for i, m in own.items()) > most_waste:
                 continue
             times = min(int(amount), *(int(left[i]) // m for i, m in own.items()))
             if times > 0:
@@ -202,7 +198,26 @@ def plan_sequences(histogram: dict[int, int], capacity: int) -> list[tuple[list[
                 plan.append((own, times))
         if left.sum() > 0.9 * before:
             break
-    plan += _best_fit(lengths, left, capacity)
+    return plan + _best_fit(lengths, left, capacity)
+
+
+def plan_sequences(histogram: dict[int, int], capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
+    """Fillings as lists of (length, pieces), each with the number of sequences that use it.
+
+    Every piece of the histogram is placed exactly once. Of three plans the one with the fewest sequences
+    is taken: every filling of the fractional solution rounded down, only those without a free token, and
+    best fit alone.
+    """
+    lengths = np.array(sorted(histogram), int)
+    counts = np.array([histogram[n] for n in lengths.tolist()], int)
+
+    @lru_cache  # the plans start from the same solution
+    def solve(own: tuple[int, ...], times: tuple[int, ...]) -> list[tuple[dict[int, int], float]]:
+        return fractional_fillings(np.array(own), np.array(times, float), capacity)
+
+    plans = [_rounded(lengths, counts, capacity, most_waste, solve) for most_waste in (capacity, 0)]
+    plans.append(_best_fit(lengths, counts, capacity))
+    plan = min(plans, key=lambda p: sum(times for _, times in p))
     return [([(int(lengths[i]), m) for i, m in sorted(f.items())], times) for f, times in plan]
 
 

@@ -43,6 +43,33 @@ def test_plans_place_every_piece_and_fill_well(n):
     assert used <= least * 1.01 + 3
 
 
+@pytest.mark.parametrize(
+    "histogram, most",
+    [
+        ({516: 1000, 261: 1000, 267: 1000, 243: 2000}, 1510),  # all lengths divisible by 3: no filling reaches 1024
+        ({300: 5000, 205: 3000, 410: 3000, 500: 100}, 3850),
+        ({516: 3000, 261: 3000, 267: 3000, 243: 6000} | dict.fromkeys(range(300, 420, 3), 20), 5200),
+    ],
+)
+def test_hot_lengths_without_a_full_filling_follow_the_program(histogram, most):
+    plan = packing.plan_sequences(histogram, 1024)
+    placed = Counter()
+    for filling, times in plan:
+        assert sum(length * per for length, per in filling) <= 1024 and times > 0
+        for length, per in filling:
+            placed[length] += per * times
+    assert dict(placed) == histogram
+    assert sum(times for _, times in plan) <= most
+
+
+def test_plans_are_never_worse_than_best_fit():
+    lengths = np.random.default_rng(0).integers(1, 1025, 5000)
+    histogram = dict(Counter(lengths.tolist()))
+    own = np.array(sorted(histogram))
+    plain = packing._best_fit(own, np.array([histogram[n] for n in own.tolist()]), 1024)
+    assert sum(times for _, times in packing.plan_sequences(histogram, 1024)) <= sum(times for _, times in plain)
+
+
 def check(docs, capacity=1024):
     texts = Counter((r.doc_id, r.text) for r in docs.collect())
     rows = packing.pack(docs, capacity, with_ids=True).collect()
