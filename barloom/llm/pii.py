@@ -3,7 +3,7 @@ estimates how far each can be trusted, and a classifier trained on the outcome d
 
 Candidates are matches of patterns. Three kinds of labelers vote yes, no or not at all: the strict form
 of the kind, gazetteers (issuer ranges, calling codes, country codes, given names, top-level domains) and
-the words around the span. Spans of the base kinds that pass their check always stand; the classifier
+the words before the span, whose absence is a no like any other. Spans of the base kinds that pass their check always stand; the classifier
 adds spans of the further kinds.
 
 Spans are found, voted on and decided by DataFrame functions. Only the number of candidates of each
@@ -95,6 +95,8 @@ AGAINST = r"(?i)\b(?:version|release|isbn|invoice|order|serial|part|page|figure|
 LABELERS = ["strict", "listed", "cue", "against"]
 YES, NO, SILENT = 1, 0, -1
 EM_ROUNDS, FIT_ROUNDS = 50, 400
+#: Candidates that each class counts beforehand, so that a few of one class don't carry all others along.
+BEFOREHAND = 20.0
 
 
 @dataclass(frozen=True)
@@ -115,7 +117,8 @@ def _hits(text: Column, kind: str) -> Column:
 
 
 def _located(text: Column, hits: Column, pattern: str) -> Column:
-    """Start, end (code points, exclusive), text and left context of each hit.
+    """Start, end (code points, exclusive), text and left context of each hit: the 40 characters before it,
+    earlier hits among them.
 
     The pieces between the hits come from a split by the same pattern, so positions are running sums.
     """
@@ -124,17 +127,16 @@ def _located(text: Column, hits: Column, pattern: str) -> Column:
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["piece"])
         end = start + F.length(x["value"])
-        span = F.struct(
-            start.alias("start"), end.alias("end"), x["value"].alias("value"),
-            F.right(x["piece"], F.lit(40)).alias("before"),
-        )
-        return F.struct(end.alias("at"), F.array_append(acc["out"], span).alias("out"))
+        before = F.right(F.concat(acc["last"], x["piece"]), F.lit(40))
+        span = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"), before.alias("before"))
+        last = F.right(F.concat(before, x["value"]), F.lit(40))
+        return F.struct(end.alias("at"), last.alias("last"), F.array_append(acc["out"], span).alias("out"))
 
     # The last piece follows the last hit.
     pieces = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
     folded = F.aggregate(
         F.arrays_zip(pieces.alias("piece"), hits.alias("value")),
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("last"), empty.alias("out")),
         step,
         lambda acc: acc["out"],
     )
@@ -174,7 +176,7 @@ def _vote(kind: str, span: Column) -> list[Column]:
     return [
         by(value.rlike(STRICT[kind]), YES, NO).alias("strict"),
         by(value.rlike(LISTED[kind]), YES, NO).alias("listed"),
-        by(before.rlike(CUES[kind]), YES, SILENT).alias("cue"),
+        by(before.rlike(CUES[kind]), YES, NO).alias("cue"),
         by(before.rlike(AGAINST), NO, SILENT).alias("against"),
     ]
 
@@ -229,7 +231,7 @@ def _reliabilities(counts: list[tuple[str, tuple[int, ...], int]]) -> list[float
     """
     truth = [0.5 + 0.4 * (sum(v == YES for v in votes) - sum(v == NO for v in votes)) / len(votes) for _, votes, _ in counts]
     for _ in range(EM_ROUNDS):
-        total = [2.0, 2.0]
+        total = [BEFOREHAND, BEFOREHAND]
         seen = {(name, v, z): 2.0 if v == z else 0.5 for name in LABELERS for v in (NO, YES) for z in (0, 1)}
         said = {(name, z): 2.5 for name in LABELERS for z in (0, 1)}
         for p, (_, votes, n) in zip(truth, counts, strict=True):
@@ -290,8 +292,7 @@ def decided(found: DataFrame, model: SpanModel) -> DataFrame:
                  for name in LABELERS]
         return reduce(lambda a, b: a + b, votes, kind)
 
-    # What looks like data of a further kind without saying so is left alone.
-    kept = F.filter("_candidates", lambda s: s["base"] | ((odds(s) >= 0) & (s["cue"] == YES)))
+    kept = F.filter("_candidates", lambda s: s["base"] | (odds(s) >= 0))
     plain = F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["base"].alias("base")))
     return found.withColumn("spans", F.array_sort(plain)).drop("_candidates")
 

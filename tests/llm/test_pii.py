@@ -68,6 +68,25 @@ def test_context_decides_on_further_kinds(spark):
     assert got[-1] == []
 
 
+def test_context_reaches_across_earlier_hits(spark):
+    texts = ["SSN: 123-45-6789, 234-56-7890", "call 212-555-0123 or 212-555-0199", "Übung 😀 SSN 123-45-6789, 234-56-7890"]
+    got = found(spark, texts * 3)
+    assert got[0] == ["ssn:5:16", "ssn:18:29"]
+    assert got[1] == ["local_phone:5:17", "local_phone:21:33"]
+    assert got[2] == ["ssn:12:23", "ssn:25:36"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    votes = pii.candidates(docs).select(F.explode("_candidates.cue").alias("cue")).collect()
+    assert [r.cue for r in votes] == [pii.YES] * 6
+
+
+def test_the_classifier_can_decide_without_a_cue(spark):
+    """Where most data stands without a cue, its absence says little."""
+    mails = ["a@b.com", "x c.d@e.org y"] * 20
+    bare = ["| Ann | DE89 3704 0044 0532 0130 00 | 12 |", "row 1, 212-555-0123, x", "x 123-45-6789", "the Apache License"]
+    got = found(spark, mails + bare)
+    assert got[-4:] == [["iban:8:35"], ["local_phone:7:19"], ["ssn:2:13"], []]
+
+
 def test_redaction_and_hard_rows(spark, hard, empty):
     df = spark.createDataFrame([(1, "mail a@b.co or 4111111111111111 now", "v")], "doc_id long, text string, spans string")
     assert pii.redact(df).select("text").first().text == "mail [EMAIL] or [CARD] now"
