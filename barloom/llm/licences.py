@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm import licence_texts
 from barloom.llm.common import LOWER, UPPER, ascii_lower, require
 
 # Spellings that licences use for one another.
@@ -68,6 +69,14 @@ KNOWN = [
         "PERFORMANCE OF THIS SOFTWARE.",
     ),
 ]
+# The short licences are usual without their title and with others; full texts and headers join them.
+_SHORT = [
+    (name, titles, text.removeprefix(f"{name} License "))
+    for name, titles in (("MIT", ["MIT License", "The MIT License", "The MIT License (MIT)"]), ("ISC", ["ISC License", "The ISC License"]))
+    for own, text in KNOWN
+    if own == name and text.startswith(f"{name} License ")
+]
+KNOWN += [row for row in licence_texts.rows(_SHORT + licence_texts.TEXTS) if row not in KNOWN]
 
 COPYRIGHT_LINE = r"(?m)^[ \t]*(?:copyright\b|\(c\)|©)[^\n]*$"
 #: Only a line feed ends a line.

@@ -35,3 +35,22 @@ def test_hard_rows(spark, hard, empty):
     assert {r.digest for r in rows if r.doc_id in (3, 4, 5)} == {None} and {r.licence for r in rows} == {None}
     assert licences.scan(empty, known).count() == 0
     assert licences.scan(hard, known.limit(0)).count() == hard.count()
+
+
+def test_common_licences_and_headers_are_known(spark):
+    """Texts as files have them, with and without their title and a line that reserves all rights."""
+    mit = next(t for name, t in licences.KNOWN if t.startswith("MIT License Permission")).removeprefix("MIT License ")
+    by = "Copyright (c) 2020 Someone\n"
+    texts = licences.licence_texts
+    bsd = texts.bsd(3)[0].replace(" 2. ", "\n\n2. ").replace(" 3. ", "\n\n3. ")
+    cases = [
+        (by + "\n" + mit, "MIT"), ("The MIT License (MIT)\n\n" + by + mit, "MIT"), (by + "All rights reserved.\n\n" + mit, "MIT"),
+        ("BSD 3-Clause License\n\n" + by + "All rights reserved.\n\n" + bsd, "BSD-3-Clause"), (by + texts.bsd(2)[1], "BSD-2-Clause"),
+        (by + texts.ZLIB.replace("as-is", "'as-is'"), "Zlib"), (texts.UNLICENSE + "\n\nFor more information, please refer to <https://unlicense.org>", "Unlicense"),
+        (texts.APACHE + texts.APACHE_APPENDIX.replace("[yyyy]", "2020").replace("[name of copyright owner]", "Someone"), "Apache-2.0"),
+        (by + texts.APACHE_HEADER, "Apache-2.0"), (by + texts.GPL_3[0], "GPL-3.0"), (texts.GPL_2[0], "GPL-2.0"), (mit + " But not on Sundays.", None),
+    ]
+    docs = spark.createDataFrame([(n, text) for n, (text, _) in enumerate(cases)], "doc_id long, text string")
+    known = spark.createDataFrame(licences.KNOWN, "licence string, text string")
+    got = {r.doc_id: r.licence for r in licences.scan(docs, known).collect()}
+    assert [got[n] for n in range(len(cases))] == [name for _, name in cases]
