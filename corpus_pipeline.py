@@ -36,8 +36,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their places in training sequences."""
-    return packing.pack(docs)
+    """Token pieces, with their tokens, and their places in training sequences."""
+    return packing.pack(docs, with_ids=True)
 
 
 STAGES = [

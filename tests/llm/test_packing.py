@@ -102,3 +102,12 @@ def test_round_trip(spark):
 def test_hard_rows(hard, empty):
     check(hard)
     assert packing.pack(empty).count() == 0
+
+
+def test_the_pipeline_returns_tokens(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "first pass"), (1, "second pass of it")], "doc_id long, text string")
+    rows = corpus_pipeline.pack_sequences(spark, docs, "").collect()
+    wanted = [[*plain_ids(text), 2] for text in ("first pass", "second pass of it")]
+    assert sorted(np.frombuffer(r.ids, "<u4").tolist() for r in rows) == sorted(wanted)
