@@ -5,8 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import language, licences, mixing, near_dup, order_minhash, packing, pii, rp_forest, toxicity, url_rules
-from barloom.llm.common import Query, crc_remainder, table
+from barloom.llm import (
+    hard_negatives,
+    language,
+    licences,
+    mixing,
+    near_dup,
+    order_minhash,
+    packing,
+    pii,
+    resampling,
+    rp_forest,
+    token_files,
+    toxicity,
+    url_rules,
+)
+from barloom.llm.common import LOWER, UPPER, Query, crc_remainder, table
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -161,3 +175,111 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors found for every vector whose id is divisible by 20."""
     return rp_forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of the vectors whose id is divisible by 100; where it is divisible by 7, the label
+    counts as the next one."""
+    vectors = table(spark, sf_dir, "embeddings")
+    flipped = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", flipped), F.col("vec_id") % 100 == 0)
+
+
+ORACLES["op11_hard_negatives"] = """
+WITH vectors AS (
+    SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v,
+        CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+    SELECT a.n AS a, a.vec_id AS anchor_id, r.n AS r, r.vec_id, a.label = r.label AS same,
+        list_inner_product(a.v, r.v)::BIGINT AS score
+    FROM vectors a JOIN vectors r ON a.n <> r.n WHERE a.vec_id % 100 = 0
+),
+positives AS (
+    SELECT a, anchor_id, r AS p, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id, r) <= 5
+)
+SELECT p.anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, vec_id AS negative_id, positive_score,
+    score AS negative_score
+FROM positives p JOIN scored s ON s.a = p.a AND NOT same
+    AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY p.a, p.p ORDER BY score DESC, vec_id, r)
+QUALIFY row_number() OVER w <= 10
+"""
+
+
+@query
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents of at least 20 words, drawn to be like the benchmark."""
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+ORACLES["op12_resample"] = f"""
+WITH bytes AS (
+    SELECT list(list_reduce(list_prepend(n, range(8)), lambda c, x:
+        CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS checks
+    FROM range(256) t(n)
+),
+texts AS (
+    SELECT 'documents' AS side, row_number() OVER () AS n, doc_id, text FROM documents
+    UNION ALL SELECT 'benchmark', row_number() OVER (), item_id, text FROM benchmark
+),
+split AS (
+    SELECT side, n, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
+        '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS words
+    FROM texts
+),
+runs AS (
+    SELECT side, n, unnest(list_concat(words,
+        list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))) AS run
+    FROM split
+),
+named AS (SELECT DISTINCT run, hex(encode(run)) AS digits FROM runs),
+hashed AS (
+    SELECT run, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(length(digits) // 2), lambda i:
+        16 * (strpos('0123456789ABCDEF', digits[2 * i + 1]) - 1) + strpos('0123456789ABCDEF', digits[2 * i + 2]) - 1)),
+        lambda c, b: xor(c >> 8, checks[(xor(c, b) & 255) + 1]))) % 10000 AS bucket
+    FROM named, bytes
+),
+counts AS (
+    SELECT bucket, count(*) FILTER (side = 'documents') AS s, count(*) FILTER (side = 'benchmark') AS t
+    FROM runs JOIN hashed USING (run) GROUP BY bucket
+),
+totals AS (SELECT sum(s)::DOUBLE AS total_s, sum(t)::DOUBLE AS total_t FROM counts),
+gains AS (
+    SELECT bucket,
+        floor(1000 * ln((t + 1)::DOUBLE * (total_s + 10000) / ((s + 1)::DOUBLE * (total_t + 10000))))::BIGINT AS gain
+    FROM counts, totals
+),
+weights AS (
+    SELECT n, sum(gain)::BIGINT AS gain, count(*) AS n_features
+    FROM runs JOIN hashed USING (run) JOIN gains USING (bucket) WHERE side = 'documents' GROUP BY n
+),
+scored AS (
+    SELECT doc_id, len(words) AS n_words, coalesce(n_features, 0) AS n_features,
+        coalesce(floor(gain / n_features)::BIGINT, 0) AS weight,
+        ('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h
+    FROM split LEFT JOIN weights USING (n) WHERE side = 'documents'
+),
+full_ AS (
+    SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score,
+        count(*) FILTER (n_words >= 20) OVER () * 25 // 100 AS wanted
+    FROM scored
+),
+placed AS (
+    SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id, n_features) AS place FROM full_
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= wanted THEN place END AS rank FROM placed
+"""
+
+
+@query
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of every document in files of token ids, as read back from them."""
+    read = token_files.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -21,6 +21,9 @@ COLUMNS = {
     "op8_judge_urls": {"page_id", "host", "path", "rule", "verdict"},
     "op9_near_duplicates": {"doc_id", "n_shingles", "component_id", "kept"},
     "op10_nearest": {"query_id", "rank", "vec_id", "score"},
+    "op11_hard_negatives": {"anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"},
+    "op12_resample": {"doc_id", "n_features", "weight", "score", "rank"},
+    "op13_token_files": {"doc_id", "start", "n_tokens", "ids_crc32"},
 }
 
 
