@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -74,8 +75,14 @@ def ship_package(spark: SparkSession) -> None:
     context._barloom_shipped = True
 
 
-#: Paths made inside each open ``scratch`` block.
-_OWNED: list[list[str]] = []
+class _Owned(threading.local):
+    """Paths made inside each open ``scratch`` block of a thread; a stream's batches run in their own."""
+
+    def __init__(self) -> None:
+        self.blocks: list[list[str]] = []
+
+
+_OWNED = _Owned()
 
 
 @contextmanager
@@ -84,11 +91,11 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 
     Results that read those files have to be written or collected before that.
     """
-    _OWNED.append([])
+    _OWNED.blocks.append([])
     try:
         yield
     finally:
-        for path in _OWNED.pop():
+        for path in _OWNED.blocks.pop():
             folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
@@ -96,8 +103,8 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder; it stays unless a ``scratch`` block owns it."""
     path = f"{shared_dir(spark)}/barloom-{name}-{uuid.uuid4().hex}"
-    if _OWNED:
-        _OWNED[-1].append(path)
+    if _OWNED.blocks:
+        _OWNED.blocks[-1].append(path)
     return path
 
 

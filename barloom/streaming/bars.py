@@ -1,34 +1,33 @@
 """Incremental bar history with Structured Streaming.
 
-The log is a folder per run and micro-batch, split by year: ``run=<id>/batch=<n>/year=<y>``. The run is the
-query's own id, which its checkpoint keeps, so a replayed batch replaces exactly what it wrote before and
-a new checkpoint never touches what an older one stored. Every row carries the order of its copy, and
-readers keep the newest per key, however the stream was cut into batches.
+The history is a table of snapshots split into periods, a year each unless told otherwise. A micro-batch
+merges into the periods that its bars fall into and leaves the folders of all others as they are, so a
+read never has to look for the newest copy of a bar. The snapshot that a batch makes also says that it has
+been applied: a replayed batch changes nothing, and a new checkpoint starts a count of its own. Every row
+keeps the order of its copy, so the newest wins however the stream was cut into batches.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import json
-import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from barloom.operators.history import KEYS, adjust, canonical, keep_newest
+from barloom.operators.history import adjust, canonical, keep_newest
 from barloom.schemas import BAR_COLUMNS, BARS
+from barloom.session import cut_lineage, scratch
 from barloom.sources.history import write_history
 from barloom.sources.payloads import decode_chart
+from barloom.streaming.snapshots import Snapshot, commit, new_folder, snapshot
 
-LOG = T.StructType([
-    *BARS.fields,
-    T.StructField("source_seq", T.LongType()),
-    T.StructField("run", T.StringType()),
-    T.StructField("batch", T.LongType()),
-    T.StructField("year", T.IntegerType()),
-])
+STORED = T.StructType([*BARS.fields, T.StructField("source_seq", T.LongType())])
+#: Date patterns of the periods a table can be split into; a period's name sorts as its dates do.
+YEARLY, MONTHLY = "yyyy", "yyyy-MM"
 
 
 def stream_adjust(stream: DataFrame, payload: str = "json") -> DataFrame:
@@ -47,13 +46,55 @@ def run_id(spark: SparkSession, checkpoint: str) -> str:
     return json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first().value)["id"]
 
 
-def upsert_batch(batch: DataFrame, batch_id: int, path: str, run: str, order: str = "source_seq") -> None:
-    """Write one batch, its newest row per key, replacing an earlier attempt at the same batch."""
-    ordered = batch.withColumn("source_seq", F.col(order).cast("long")).select(*BAR_COLUMNS, "source_seq")
-    newest = keep_newest(ordered).withColumn("year", F.year("date"))
-    newest.write.mode("overwrite").option("compression", "zstd").partitionBy("year").parquet(
-        f"{path}/run={run}/batch={int(batch_id)}"
-    )
+def _stored(spark: SparkSession, folders: list[str]) -> DataFrame:
+    if not folders:
+        return spark.createDataFrame([], STORED)
+    return spark.read.schema(STORED).parquet(*folders)
+
+
+def _write_periods(rows: DataFrame, path: str, grain: str) -> str:
+    """Write the newest row per key, split by period, to a new folder whose name is returned.
+
+    The rows are ranged by date, so a period's files are few and sorted, and the same placing serves the
+    grouping. A key has one row per version merged, as the batch has been reduced before.
+    """
+    folder = new_folder(path)
+    newest = keep_newest(rows.select(*BAR_COLUMNS, "source_seq").repartitionByRange("date", "code"))
+    split = newest.withColumn("period", F.date_format("date", grain)).sortWithinPartitions("period", "date", "code")
+    split.write.option("compression", "zstd").partitionBy("period").parquet(f"{path}/{folder}")
+    return folder
+
+
+def upsert_batch(
+    batch: DataFrame, batch_id: int, path: str, run: str, order: str = "source_seq", grain: str = YEARLY
+) -> None:
+    """Merge one batch into the periods it touches; one that ``run`` has applied already does nothing.
+
+    Rows without a date belong to no period and are dropped.
+    """
+    spark = batch.sparkSession
+    if snapshot(spark, path).applied.get(run, -1) >= batch_id:
+        return
+    with scratch(spark):
+        ordered = batch.withColumn("source_seq", F.col(order).cast("long")).filter(F.col("date").isNotNull())
+        fresh = cut_lineage(keep_newest(ordered.select(*BAR_COLUMNS, "source_seq")))
+        named = fresh.select(F.date_format("date", grain).alias("period")).distinct().collect()
+        touched = sorted(row.period for row in named)  # one row per year or month
+        written: dict[str, tuple[str | None, str]] = {}
+
+        def merge(base: Snapshot) -> Snapshot | None:
+            if base.applied.get(run, -1) >= batch_id:
+                return None
+            # Another writer's version costs a new merge only where it changed the same period.
+            stale = [p for p in touched if p not in written or written[p][0] != base.periods.get(p)]
+            if stale:
+                own = fresh.filter(F.date_format("date", grain).isin(stale)) if len(stale) < len(touched) else fresh
+                folder = _write_periods(_stored(spark, base.folders(path, stale)).unionByName(own), path, grain)
+                written.update({p: (base.periods.get(p), f"{folder}/period={p}") for p in stale})
+            periods = base.periods | {p: written[p][1] for p in touched}
+            return replace(base, periods=periods, applied=base.applied | {run: batch_id})
+
+        commit(spark, path, merge)
 
 
 def stream_upsert(
@@ -62,18 +103,19 @@ def stream_upsert(
     checkpoint: str,
     order: str = "source_seq",
     trigger: dict | None = None,
+    grain: str = YEARLY,
 ) -> StreamingQuery:
-    """Upsert a stream of bars into the log at ``path``; the newest row per key wins.
+    """Upsert a stream of bars into the table at ``path``; the newest row per key wins.
 
     ``order`` names the column that ranks copies of a key, over all batches and runs; a stream without it
     is refused, because the result would hang on how files fall into batches. :func:`by_file_time` adds
-    one to streams of files.
+    one to streams of files. ``grain`` splits the table by year or month and has to stay the same.
     """
     if order not in stream.columns:
         raise ValueError(f"the stream has no column {order!r} that ranks copies of a key")
 
     def write(df: DataFrame, n: int) -> None:
-        upsert_batch(df, n, path, run_id(df.sparkSession, checkpoint), order)
+        upsert_batch(df, n, path, run_id(df.sparkSession, checkpoint), order, grain)
 
     return (
         stream.writeStream.foreachBatch(write)
@@ -83,15 +125,21 @@ def stream_upsert(
     )
 
 
-def read_upserted(spark: SparkSession, path: str, since: dt.date | None = None) -> DataFrame:
-    """Current bars of the log: the newest row per key over all batches.
+def read_upserted(
+    spark: SparkSession, path: str, since: dt.date | None = None, version: int | None = None
+) -> DataFrame:
+    """Bars of the newest version of the table, or of ``version``.
 
-    With ``since``, only bars from that day on; folders of earlier years are not read.
+    The folders are listed once, so the frame stays on its version. With ``since``, only bars from that day
+    on; folders of periods before it are not read.
     """
-    log = spark.read.schema(LOG).option("basePath", path).parquet(path)
+    held = snapshot(spark, path, version)
+    periods = sorted(held.periods)
     if since is not None:
-        log = log.filter((F.col("year") >= since.year) & (F.col("date") >= F.lit(since)))
-    return keep_newest(log.select(*BAR_COLUMNS, "source_seq"), KEYS, "source_seq").select(*BAR_COLUMNS)
+        day = since.isoformat()
+        periods = [p for p in periods if p >= day[: len(p)]]
+    bars = _stored(spark, held.folders(path, periods)).select(*BAR_COLUMNS)
+    return bars if since is None else bars.filter(F.col("date") >= F.lit(since))
 
 
 def compact(spark: SparkSession, path: str, target: str) -> DataFrame:
@@ -99,25 +147,20 @@ def compact(spark: SparkSession, path: str, target: str) -> DataFrame:
     return write_history(read_upserted(spark, path), target)
 
 
-def compact_log(spark: SparkSession, path: str) -> None:
-    """Merge the log's batches into one and retire their folders.
+def compact_periods(spark: SparkSession, path: str, periods: list[str], grain: str = YEARLY) -> None:
+    """Rewrite the given periods into few sorted files, as a new version with the same bars.
 
-    The merged rows keep their order, and they are in place before any folder goes: a reader meets a row
-    twice or once, never not at all. Batches that arrive meanwhile stay. Streams must not replay a retired
-    batch, so run it between a query's runs.
+    Batches may arrive meanwhile: a period that one of them merged into keeps that batch's folder, which
+    is fresh anyway.
     """
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    merged = [str(s.getPath().toString()) for s in fs.listStatus(hadoop(path)) if s.getPath().getName().startswith("run=")]
-    if not merged:
+    base = snapshot(spark, path)
+    wanted = sorted(set(periods) & set(base.periods))
+    if not wanted:
         return
-    log = spark.read.schema(LOG).option("basePath", path).parquet(*merged)
-    newest = keep_newest(log.select(*BAR_COLUMNS, "source_seq"), KEYS, "source_seq")
-    # Names with an underscore are invisible to readers until the rename.
-    name = uuid.uuid4().hex
-    newest.withColumn("year", F.year("date")).write.option("compression", "zstd").partitionBy("year").parquet(
-        f"{path}/_merging-{name}/batch=0"
-    )
-    fs.rename(hadoop(f"{path}/_merging-{name}"), hadoop(f"{path}/run=merged-{name}"))
-    for folder in merged:
-        fs.delete(hadoop(folder), True)
+    folder = _write_periods(_stored(spark, base.folders(path, wanted)), path, grain)
+
+    def swap(now: Snapshot) -> Snapshot | None:
+        same = {p: f"{folder}/period={p}" for p in wanted if now.periods.get(p) == base.periods[p]}
+        return replace(now, periods=now.periods | same) if same else None
+
+    commit(spark, path, swap)
