@@ -35,6 +35,25 @@ def classify_days(spark, sf):
     return sessions.classify_days(dates(spark, sf), t.holidays(spark, sf))
 
 
+@query(
+    "missing_ranges",
+    "history markets cal",
+    """SELECT market, code, min(date) AS first, max(date) AS last, CAST(count(*) AS INTEGER) AS sessions FROM (
+        SELECT market, code, date, k - row_number() OVER (PARTITION BY market, code ORDER BY date) AS island
+        FROM (SELECT date, row_number() OVER (ORDER BY date) AS k FROM cal
+            WHERE kind = 'trading' AND date BETWEEN DATE '1996-01-01' AND DATE '2001-12-31') d CROSS JOIN markets m
+        ANTI JOIN history h ON h.market = m.market AND h.code = m.code AND h.date = d.date)
+        GROUP BY market, code, island""",
+)
+def missing_ranges(spark, sf):
+    """Sessions of each listed code that the stored history lacks, as ranges to fetch."""
+    sessions_ = calendar(spark, sf).filter(F.col("kind") == "trading")
+    codes = t.markets(spark, sf).select("market", "code")
+    return history.missing_ranges(
+        t.history(spark, sf), codes, sessions_, "1996-01-01", "2001-12-31", keys=("market", "code")
+    )
+
+
 @query("next_session", "dates cal", "SELECT date, next_session FROM dates JOIN cal USING (date)")
 def next_session(spark, sf):
     return sessions.next_session(dates(spark, sf), calendar(spark, sf))

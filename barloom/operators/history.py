@@ -6,12 +6,12 @@ import datetime as dt
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.functions.signals import is_finite, is_positive
-from barloom.operators.spread import one_row
+from barloom.operators.spread import one_row, per_day
 from barloom.schemas import BAR_COLUMNS, PRICES
 
 KEYS = ("market", "code", "date")
@@ -166,6 +166,43 @@ def next_fetch(df: DataFrame, floor: dt.date | str, end: dt.date | str) -> DataF
     )
 
 
+def missing_ranges(
+    bars: DataFrame,
+    entities: DataFrame,
+    sessions: DataFrame,
+    floor: dt.date | str,
+    end: dt.date | str,
+    keys: Sequence[str] = ("code",),
+) -> DataFrame:
+    """What a refresh has to fetch again: each entity's runs of sessions without a bar.
+
+    ``sessions`` has the trading days as ``date``; those from ``floor`` to ``end`` count. The newest date of
+    the whole table hides what a failed fetch left out of one entity; here each gap is found, also before
+    the first bar and after the last, and an entity without any bar misses the whole span. Returns the keys,
+    ``first`` and ``last`` session of each gap and their number, ``sessions``. Bars of other entities or on
+    other days do not count. No (entity, session) grid is built: sessions are numbered, and a gap is a step
+    of more than one between the bars of an entity.
+    """
+    spanned = between(sessions.select("date"), floor, end).filter("date is not null").distinct()
+    # One row per calendar day, whatever the number of bars.
+    days = spanned.withColumn("_n", F.row_number().over(Window.orderBy("date")))
+    wanted = entities.select(*keys).distinct()
+    held = bars.select(*keys, "date").join(per_day(days), "date").join(wanted, list(keys), "left_semi").select(*keys, "_n")
+    marks = held.unionByName(wanted.withColumn("_n", F.lit(0)))
+    total = days.agg(F.count(F.lit(1)).cast("int").alias("_total"))
+    after = F.lead("_n").over(Window.partitionBy(*keys).orderBy("_n"))
+    steps = marks.withColumn("_after", after).crossJoin(one_row(total))
+    steps = steps.withColumn("_after", F.coalesce("_after", F.col("_total") + 1))
+    gaps = steps.filter(F.col("_after") - F.col("_n") > 1)
+    number = lambda name: F.broadcast(days.select(F.col("_n").alias(f"_{name}"), F.col("date").alias(name)))
+    return (
+        gaps.withColumns({"_first": F.col("_n") + 1, "_last": F.col("_after") - 1})
+        .join(number("first"), "_first")
+        .join(number("last"), "_last")
+        .select(*keys, "first", "last", (F.col("_last") - F.col("_first") + 1).alias("sessions"))
+    )
+
+
 def split_cutoff(df: DataFrame, valid_days: int) -> DataFrame:
     """One row: date bounds and the first day of the validation side."""
     return date_bounds(df).withColumn("cutoff", F.date_sub("last_date", valid_days))

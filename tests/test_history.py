@@ -10,7 +10,9 @@ from barloom.plans.features import consolidate
 from barloom.schemas import BARS
 from barloom.session import scratch_path
 from barloom.sources.history import read_history, write_history
-from barloom.streaming.bars import by_file_time, compact, compact_log, read_upserted, run_id, stream_upsert, upsert_batch
+from barloom.streaming import bars as bars_module
+from barloom.streaming.bars import by_file_time, compact, compact_periods, read_upserted, run_id, stream_upsert, upsert_batch
+from barloom.streaming.snapshots import expire, snapshot, versions
 
 RAW = "date date, open float, high float, low float, close float, volume float, adjclose float"
 
@@ -151,12 +153,91 @@ def test_later_file_wins_in_one_batch_and_a_new_checkpoint_keeps_the_log(spark):
     whole = [("A", d1, 3.0), ("B", d1, 0.5), ("C", d2, 7.0)]
     assert stored(spark, log) == whole
     tail = read_upserted(spark, log, since=d2)
-    assert [r.code for r in tail.collect()] == ["C"] and len(tail.inputFiles()) >= 1
-    plan = tail._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(year" in plan
-    compact_log(spark, log)
-    assert stored(spark, log) == whole
-    assert len([f for f in os.listdir(log) if f.startswith("run=")]) == 1
+    assert [r.code for r in tail.collect()] == ["C"]
+    assert all("/period=2026/" in name for name in tail.inputFiles())
+
+
+def merged(spark, log, batch, n, rows, run="r"):
+    schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in BARS)}, source_seq long"
+    upsert_batch(spark.createDataFrame([(*row, n) for row in rows], schema), batch, log, run)
+
+
+def test_a_batch_rewrites_only_the_years_it_touches(spark):
+    log = scratch_path(spark, "log")
+    d1, d2, d3 = dt.date(2024, 5, 1), dt.date(2025, 5, 1), dt.date(2026, 5, 1)
+    merged(spark, log, 0, 1, [bar("A", d, 1.0) for d in (d1, d2, d3)])
+    first = snapshot(spark, log)
+    old = read_upserted(spark, log)
+    before = set(old.inputFiles())
+    merged(spark, log, 1, 2, [bar("A", d2, 2.0), bar("B", d2, 3.0)])
+    second = snapshot(spark, log)
+    assert {p for p in second.periods if second.periods[p] != first.periods[p]} == {"2025"}
+    now = read_upserted(spark, log)
+    same = lambda names: {n for n in names if "period=2025" not in n}
+    assert same(now.inputFiles()) == same(before) and len(same(before)) == 2
+    assert stored(spark, log) == [("A", d1, 1.0), ("A", d2, 2.0), ("A", d3, 1.0), ("B", d2, 3.0)]
+    # The frame read before the merge, and its version by number, stay what they were.
+    assert sorted(r.close for r in old.collect()) == [1.0] * 3 == sorted(r.close for r in read_upserted(spark, log, version=1).collect())
+    plan = now._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan and "Sort" not in plan
+
+
+def test_older_copies_and_replayed_batches_change_nothing(spark):
+    log, day = scratch_path(spark, "log"), dt.date(2026, 5, 1)
+    merged(spark, log, 0, 5, [bar("A", day, 1.0)])
+    merged(spark, log, 1, 4, [bar("A", day, 9.0)])  # an older copy in a later batch
+    assert stored(spark, log) == [("A", day, 1.0)]
+    version = snapshot(spark, log).version
+    merged(spark, log, 1, 6, [bar("A", day, 7.0)])  # the batch again, with what must not count
+    assert snapshot(spark, log).version == version and stored(spark, log) == [("A", day, 1.0)]
+    merged(spark, log, 0, 6, [bar("A", day, 7.0)], run="other")
+    assert stored(spark, log) == [("A", day, 7.0)]
+
+
+def test_writers_that_meet_lose_nothing(spark, monkeypatch):
+    log, d1, d2 = scratch_path(spark, "log"), dt.date(2025, 5, 1), dt.date(2026, 5, 1)
+    merged(spark, log, 0, 1, [bar("A", d1, 1.0), bar("A", d2, 1.0)])
+    write, met = bars_module._write_periods, []
+
+    def slow(rows, path, grain):
+        folder = write(rows, path, grain)
+        if len(met) in (0, 2):  # another writer commits while this one is about to
+            met.append("other")
+            merged(spark, log, len(met), 2 + len(met), [bar("A", d2, 2.0 + len(met))], run="other")
+        met.append("own")
+        return folder
+
+    monkeypatch.setattr(bars_module, "_write_periods", slow)
+    merged(spark, log, 1, 2, [bar("A", d1, 2.0), bar("A", d2, 2.0), bar("B", d2, 2.0)])
+    assert stored(spark, log) == [("A", d1, 2.0), ("A", d2, 3.0), ("B", d2, 2.0)]
+    assert met == ["other", "own", "own", "own"]  # what the other changed was merged again
+    del met[2:]
+    compact_periods(spark, log, ["2025", "2026"])  # a batch commits while a compaction is under way
+    assert stored(spark, log) == [("A", d1, 2.0), ("A", d2, 5.0), ("B", d2, 2.0)]
+    assert snapshot(spark, log).applied == {"r": 1, "other": 3}
+
+
+def test_compaction_and_expiry_keep_the_bars(spark):
+    log, d1, d2 = scratch_path(spark, "log"), dt.date(2025, 5, 1), dt.date(2026, 5, 1)
+    for n in range(4):
+        merged(spark, log, n, n, [bar(f"C{n}", d1, 1.0), bar("A", d2, float(n + 1))])
+    whole = stored(spark, log)
+    pinned = read_upserted(spark, log)
+    compact_periods(spark, log, ["2025", "1999"])
+    assert stored(spark, log) == whole and pinned.count() == len(whole)
+    expire(spark, log, keep=1)
+    assert versions(spark, log) == [5] and stored(spark, log) == whole
+    folders = sorted(os.listdir(os.path.join(log.removeprefix("file:"), "data")))
+    live = {f.split("/")[1] for f in snapshot(spark, log).periods.values()}
+    left = [f for f in folders if any(p.startswith("period=") for p in os.listdir(os.path.join(log.removeprefix("file:"), "data", f)))]
+    assert set(left) == live
+
+
+def test_an_empty_table_reads_as_no_bars(spark):
+    log = scratch_path(spark, "log")
+    assert read_upserted(spark, log).count() == 0
+    merged(spark, log, 0, 1, [])
+    assert snapshot(spark, log).version == 1 and read_upserted(spark, log).count() == 0
 
 
 def test_a_stream_without_an_order_is_refused(spark):
@@ -172,3 +253,21 @@ def test_route_market(spark):
     )
     rows = {r.code: (r.market, r.symbol) for r in history.route_market(df).collect()}
     assert rows == {"1": ("tse", "1.TW"), "2": ("tse", "2.TW"), "3": ("otc", "3.TWO")}
+
+
+def ranges(df):
+    return sorted((r.code, r.first.day, r["last"].day, r.sessions) for r in df.collect())
+
+
+def test_missing_ranges(spark):
+    day = lambda n: dt.date(2026, 1, n)
+    sessions = spark.createDataFrame([(day(n),) for n in (1, 2, 5, 6, 7, 8, 9, 12, 12)], "date date")
+    held = {"A": (1, 2, 5, 6, 7, 8, 9, 12), "B": (2, 2, 7), "C": (3, 4), "X": (1,)}
+    bars = spark.createDataFrame([(c, day(n)) for c, ns in held.items() for n in ns], "code string, date date")
+    codes = spark.createDataFrame([("A",), ("B",), ("C",), ("D",), ("B",)], "code string")
+    whole = history.missing_ranges(bars, codes, sessions, "2026-01-01", "2026-01-12")
+    assert ranges(whole) == [("B", 1, 1, 1), ("B", 5, 6, 2), ("B", 8, 12, 3), ("C", 1, 12, 8), ("D", 1, 12, 8)]
+    part = history.missing_ranges(bars, codes, sessions, "2026-01-06", "2026-01-08")
+    assert ranges(part) == [("B", 6, 6, 1), ("B", 8, 8, 1), ("C", 6, 8, 3), ("D", 6, 8, 3)]
+    assert ranges(history.missing_ranges(bars.limit(0), codes, sessions.limit(0), "2026-01-06", "2026-01-08")) == []
+    assert ranges(history.missing_ranges(bars, codes.limit(0), sessions, "2026-01-06", "2026-01-08")) == []
