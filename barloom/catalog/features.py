@@ -8,6 +8,7 @@ from barloom.catalog import tables as t
 from barloom.catalog.registry import query, r, tidy
 from barloom.functions import signals
 from barloom.operators import panel, ranking, windows
+from barloom.session import cut_lineage
 from barloom.plans.features import label_rank, labelled_only, raw_signals
 from barloom.schemas import PRICES
 
@@ -61,6 +62,14 @@ def forward_mfe(spark, sf):
     return tidy(df.select("ticker", "date", "raw_mfe"))
 
 
+@query("forward_mfe_blocks", "mfe", f"SELECT ticker, date, {r('raw_mfe')} AS raw_mfe FROM mfe")
+def forward_mfe_blocks(spark, sf):
+    """The same with each ticker's rows dealt out in blocks, as for tickers that no task can hold."""
+    frames = lambda df, entity: panel.forward_mfe(df, t.HORIZON, entity)
+    df = panel.in_blocks(t.std(spark, sf).drop("feature"), frames, after=t.HORIZON, rows=256)
+    return tidy(df.select("ticker", "date", "raw_mfe"))
+
+
 @query("zscore_by_date", "z", f"SELECT ticker, date, {ZSCORE_SQL} FROM z")
 def zscore_by_date(spark, sf):
     df = panel.zscore_by(raw_signals(t.bars(spark, sf)), signals.BASE_SIGNALS)
@@ -214,6 +223,20 @@ def train_valid_split(spark, sf):
     return tidy(df.select("ticker", "date", "side", "label"))
 
 
+@query(
+    "split_check",
+    "lab",
+    f"""SELECT *, train_windows > 0 AND valid_windows > 0 AS ok FROM (
+        SELECT CAST(coalesce(sum(n) FILTER (date < DATE '{t.CUTOFF}'), 0) AS BIGINT) AS train_windows,
+            CAST(coalesce(sum(n) FILTER (date >= DATE '{t.CUTOFF}'), 0) AS BIGINT) AS valid_windows FROM (
+        SELECT date, CASE WHEN row_number() OVER (PARTITION BY ticker, date < DATE '{t.CUTOFF}' ORDER BY date)
+            >= {t.STEPS} THEN 1 ELSE 0 END AS n FROM lab))""",
+)
+def split_check(spark, sf):
+    """Whether the cutoff leaves windows on both sides, without which training is refused."""
+    return windows.split_check(t.labelled(spark, sf), t.CUTOFF, t.STEPS)
+
+
 @query(
     "sort_bars",
     "history",
@@ -256,5 +279,5 @@ def sample_tickers(spark, sf):
         LIMIT 12000""",
 )
 def subsample_windows(spark, sf):
-    df = t.scored(spark, sf).select("ticker", "date", "score")
+    df = cut_lineage(t.scored(spark, sf).select("ticker", "date", "score"))  # its keys are read again and again
     return tidy(ranking.sample_windows(df, 12_000, SAMPLE_SEED))

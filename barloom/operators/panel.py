@@ -7,16 +7,22 @@ partitioning and one sort, so a chain of them shuffles the rows once.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from barloom.functions.signals import zscore
-from barloom.operators.spread import join_stats, per_day
+from barloom.operators.spread import join_stats, per_day, rank_within
 
 
-def along(entity: str = "ticker") -> WindowSpec:
+Entity = str | Sequence[str]
+
+#: Rows of one ticker that a task frames at once when its rows are dealt out in blocks.
+BLOCK_ROWS = 65_536
+
+
+def along(entity: Entity = "ticker") -> WindowSpec:
     return Window.partitionBy(entity).orderBy("date")
 
 
@@ -25,20 +31,47 @@ def by_ticker(df: DataFrame, entity: str = "ticker") -> DataFrame:
     return df.repartition(entity).sortWithinPartitions(entity, "date")
 
 
+def in_blocks(
+    df: DataFrame,
+    frames: Callable[[DataFrame, Sequence[str]], DataFrame],
+    before: int = 0,
+    after: int = 0,
+    entity: str = "ticker",
+    rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Apply ``frames`` to a panel whose tickers may have any number of rows.
+
+    ``frames`` takes the rows and the columns its windows are partitioned by, and looks at most ``before``
+    rows back and ``after`` rows ahead. Each ticker's rows are numbered and dealt out in blocks of ``rows``,
+    and the rows near an end of a block are copied to the block next to it, so every block frames its own
+    rows as if it saw them all. The result equals ``frames(df, entity)``; a single ticker keeps every task
+    busy, for the price of one range sort. ``df`` has one row per (entity, date).
+    """
+    if rows < max(before, after, 1):
+        raise ValueError("a block must cover the rows that its neighbours look at")
+    numbered = rank_within(df, [entity], [F.asc("date")], "_n")
+    home, within = F.floor((F.col("_n") - 1) / rows), (F.col("_n") - 1) % rows
+    homes = F.array(
+        home, F.when((within < after) & (home > 0), home - 1), F.when(within >= rows - before, home + 1)
+    )
+    copies = numbered.withColumn("_block", F.explode(F.array_compact(homes)))
+    return frames(copies, [entity, "_block"]).filter(F.col("_block") == home).drop("_n", "_block")
+
+
 def sort_bars(df: DataFrame, keys: Sequence[str] = ("ticker", "date")) -> DataFrame:
     return df.orderBy(*keys)
 
 
-def prev(df: DataFrame, cols: Sequence[str], entity: str = "ticker") -> DataFrame:
+def prev(df: DataFrame, cols: Sequence[str], entity: Entity = "ticker") -> DataFrame:
     """Value of each column on the ticker's previous row, as ``prev_<column>``."""
     return df.withColumns({f"prev_{c}": F.lag(c).over(along(entity)) for c in cols})
 
 
-def next_low(df: DataFrame, entity: str = "ticker") -> DataFrame:
+def next_low(df: DataFrame, entity: Entity = "ticker") -> DataFrame:
     return df.withColumn("next_low", F.lead("low").over(along(entity)))
 
 
-def forward_peak(df: DataFrame, horizon: int, entity: str = "ticker") -> DataFrame:
+def forward_peak(df: DataFrame, horizon: int, entity: Entity = "ticker") -> DataFrame:
     """Highest high of the next ``horizon`` rows; null unless all of them have one."""
     if horizon < 1:
         raise ValueError("horizon must be at least one bar")
@@ -47,7 +80,7 @@ def forward_peak(df: DataFrame, horizon: int, entity: str = "ticker") -> DataFra
     return df.withColumn("forward_peak", F.when(full, F.max("high").over(ahead)))
 
 
-def forward_mfe(df: DataFrame, horizon: int, entity: str = "ticker") -> DataFrame:
+def forward_mfe(df: DataFrame, horizon: int, entity: Entity = "ticker") -> DataFrame:
     """Best gain over the next ``horizon`` rows for an entry at the next low, as ``raw_mfe``."""
     gain = F.try_divide(F.col("forward_peak").cast("double"), F.col("next_low").cast("double"))
     return (
@@ -125,8 +158,8 @@ def lag_signal(bars: DataFrame, scores: DataFrame) -> DataFrame:
     return lag_scored(scored).transform(finite_ohlc)
 
 
-def lag_scored(scored: DataFrame) -> DataFrame:
+def lag_scored(scored: DataFrame, entity: Entity = "ticker") -> DataFrame:
     """:func:`lag_signal` for bars that already carry their score (null where there is none)."""
-    return scored.withColumn("score", F.lag("score").over(along())).filter(
+    return scored.withColumn("score", F.lag("score").over(along(entity))).filter(
         F.col("score").isNotNull()
     )

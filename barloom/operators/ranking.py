@@ -70,21 +70,50 @@ def _lottery(*keys: str, seed: int) -> Column:
     return F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))
 
 
-def _sample_keys(keys: DataFrame, draw: Column, n: int) -> DataFrame:
-    drawn = keys.withColumn("_draw", draw)
-    names = keys.columns
-    order = [F.asc("_draw"), *[F.asc(c) for c in names]]
-    return rank_within(drawn, [], order, "_rank").filter(F.col("_rank") <= n).select(*names)
+#: Hexadecimal digits of a draw that one histogram resolves, and the rows few enough to be sorted.
+DIGITS, FEW = 4, 10_000
+
+
+def _among_first(keys: DataFrame, draw: Column, n: int) -> Column:
+    """Whether a row's draw, ties by its keys, is among the ``n`` smallest of ``keys``.
+
+    A histogram of the draws' leading digits, at most ``16 ** DIGITS`` counts, tells which bin the
+    ``n``-th row is in. All bins before it are taken whole; the bin is counted by its next digits, until
+    few rows are left or the draw has no digits more. Only those are sorted, and only the ``n``-th is
+    fetched: the result is a filter on the row itself, and nothing is shuffled but counts.
+    """
+    names, drawn = keys.columns, keys.withColumn("_draw", draw)
+    if n < 1:
+        return F.lit(False)
+    prefix, left = "", n
+    while True:
+        inside = drawn.filter(F.col("_draw").startswith(prefix))
+        upto = len(prefix) + DIGITS
+        bins = inside.groupBy(F.substring("_draw", 1, upto).alias("_bin")).count()
+        for own, count in sorted(tuple(row) for row in bins.collect()):
+            if left <= count:
+                break
+            left -= count
+        else:
+            return F.lit(True)  # there are no more rows than n
+        prefix = own
+        if count <= FEW or upto >= 32:
+            break
+    order = [F.asc("_draw"), *[F.asc(name) for name in names]]
+    last = drawn.filter(F.col("_draw").startswith(prefix)).orderBy(*order).limit(left).tail(1)[0]
+    same = F.lit(True)
+    for name in reversed(names):
+        same = (F.col(name) < F.lit(last[name])) | ((F.col(name) == F.lit(last[name])) & same)
+    return (draw < last["_draw"]) | ((draw == last["_draw"]) & same)
 
 
 def sample_tickers(df: DataFrame, n: int, seed: int) -> DataFrame:
     """Rows of ``n`` tickers drawn by ``seed``; all rows when there are no more tickers than that."""
-    chosen = _sample_keys(df.select("ticker").distinct(), _lottery("ticker", seed=seed), n)
-    return df.join(chosen, "ticker", "left_semi")
+    tickers = df.select("ticker").filter("ticker is not null").distinct()
+    return df.filter(_among_first(tickers, _lottery("ticker", seed=seed), n))
 
 
 def sample_windows(df: DataFrame, n: int, seed: int) -> DataFrame:
     """``n`` windows drawn by ``seed`` from the rows that end one."""
-    keys = df.select("ticker", "date")
-    chosen = _sample_keys(keys, _lottery("ticker", "date", seed=seed), n)
-    return df.join(chosen, ["ticker", "date"], "left_semi")
+    keys = df.select("ticker", "date").filter("ticker is not null and date is not null")
+    return df.filter(_among_first(keys, _lottery("ticker", "date", seed=seed), n))

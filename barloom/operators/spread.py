@@ -82,7 +82,7 @@ def rank_within(df: DataFrame, by: Sequence[str], order: Sequence[Column], name:
 
     ``order`` must be total within a group. The rows are range-sorted once, so a hot group spans
     many partitions; each partition adds the row count of its predecessors. Only counts per
-    (group, partition) are windowed.
+    (group, partition) are windowed. The position is a long, as a group may have any number of rows.
     """
     placed = _sorted_positions(df, by, order)
     slices = placed.groupBy(*by, "_slice").agg(
@@ -90,10 +90,32 @@ def rank_within(df: DataFrame, by: Sequence[str], order: Sequence[Column], name:
     )
     offsets = _slice_offsets(slices, by, ["_n"])
     ranked = placed.join(_per_slice(offsets, by), [*by, "_slice"])
-    rank = (F.col("_pos") - F.col("_first") + F.col("_n_before") + 1).cast("int")
+    rank = (F.col("_pos") - F.col("_first") + F.col("_n_before") + 1).cast("long")
     return ranked.withColumn(name, rank).select(*df.columns, name)
 
 
+def running_last(
+    df: DataFrame, by: Sequence[str], order: Sequence[Column], value: str, name: str
+) -> DataFrame:
+    """Last value so far that is not null within each group, with no bound on the group's size.
+
+    The rows are range-sorted once; each slice takes over the last value of the slices before it, of
+    which there is one per (group, partition).
+    """
+    placed = _sorted_positions(df, by, order)
+    newest = F.max_by(value, F.when(F.col(value).isNotNull(), F.col("_pos")))
+    before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        placed.groupBy(*by, "_slice")
+        .agg(newest.alias("_newest"))
+        .withColumn("_carried", F.last("_newest", ignorenulls=True).over(before))
+        .drop("_newest")
+    )
+    local = Window.partitionBy(*by, "_slice").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.coalesce(F.last(value, ignorenulls=True).over(local), F.col("_carried"))
+    return placed.join(_per_slice(carried, by), [*by, "_slice"]).withColumn(name, last).select(*df.columns, name)
+
+
 def running_total(
     df: DataFrame, by: Sequence[str], order: Sequence[Column], value: str, name: str
 ) -> DataFrame:

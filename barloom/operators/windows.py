@@ -60,6 +60,14 @@ def tagged_split(df: DataFrame, cutoff: dt.date | str, steps: int = STEPS) -> Da
     )
 
 
+def split_check(df: DataFrame, cutoff: dt.date | str, steps: int = STEPS) -> DataFrame:
+    """One row: windows on each side of ``cutoff``, and whether both have any, which :func:`split` demands."""
+    tagged = tagged_split(df, cutoff, steps).groupBy("ticker", "side").agg((F.count(F.lit(1)) - (steps - 1)).alias("_n"))
+    sides = {name: F.coalesce(F.sum(F.when(F.col("side") == name, F.col("_n"))), F.lit(0)) for name in ("train", "valid")}
+    counted = tagged.agg(*[count.cast("long").alias(f"{name}_windows") for name, count in sides.items()])
+    return counted.withColumn("ok", (F.col("train_windows") > 0) & (F.col("valid_windows") > 0))
+
+
 def split(
     df: DataFrame, cutoff: dt.date | str, steps: int = STEPS
 ) -> tuple[DataFrame, DataFrame]:

@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -70,8 +71,41 @@ def test_samples_repeat(spark):
     assert ranking.sample_tickers(df, 99, 1).count() == df.count()
 
 
-def test_large_sample_takes_the_same_rows(spark, monkeypatch):
+def smallest(keys, n, seed):
+    draw = lambda key: hashlib.md5("|".join([*map(str, key), str(seed)]).encode()).hexdigest()
+    return sorted(sorted(keys, key=lambda key: (draw(key), key))[:n])
+
+
+@pytest.mark.parametrize(("digits", "few"), [(4, 10_000), (1, 3), (1, 0)])
+def test_a_sample_is_the_smallest_draws(spark, monkeypatch, digits, few):
+    monkeypatch.setattr(ranking, "DIGITS", digits)  # few digits and rows, so that bins are refined
+    monkeypatch.setattr(ranking, "FEW", few)
     df = synthetic(spark, 6, 30)
-    small = sorted(ranking.sample_windows(df, 40, 7).select("ticker", "date").collect())
-    monkeypatch.setattr(ranking, "SMALL_SAMPLE", 10)
-    assert sorted(ranking.sample_windows(df, 40, 7).select("ticker", "date").collect()) == small
+    keys = [(r.ticker, r.date) for r in df.collect()]
+    for n in (1, 40, 179, 180, 999):
+        got = sorted((r.ticker, r.date) for r in ranking.sample_windows(df, n, 7).collect())
+        assert got == smallest(keys, n, 7)
+    tickers = {(f"t{t}",) for t in range(6)}
+    got = {(r.ticker,) for r in ranking.sample_tickers(df, 2, 3).collect()}
+    assert sorted(got) == smallest(tickers, 2, 3)
+    assert ranking.sample_windows(df, 0, 7).count() == 0 == ranking.sample_windows(df.limit(0), 5, 7).count()
+
+
+def test_samples_sort_nothing(spark):
+    plan = ranking.sample_windows(synthetic(spark, 6, 30), 40, 7)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan and "Join" not in plan
+
+
+def test_copies_of_a_key_are_drawn_together(spark):
+    df = synthetic(spark, 1, 3)
+    copies = df.unionByName(df).unionByName(df)
+    got = sorted((r.ticker, r.date) for r in ranking.sample_windows(copies, 4, 7).collect())
+    keys = sorted({(r.ticker, r.date) for r in df.collect()})
+    assert got == sorted(smallest(keys, 2, 7) * 3)
+
+
+def test_split_check_says_what_split_demands(spark):
+    df = synthetic(spark, 3, 20)
+    assert windows.split_check(df, "1970-01-11", 4).first() == (21, 21, True)
+    assert windows.split_check(df, "1970-01-03", 4).first() == (0, 45, False)
+    assert windows.split_check(df.limit(0), "1970-01-03", 4).first() == (0, 0, False)
