@@ -6,16 +6,68 @@ operation: exits are judged per entry, and balances are running sums over given
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions import pricing
 from barloom.operators.panel import along, day_table
-from barloom.operators.ranking import above, strongest_first
-from barloom.operators.spread import per_day, running_total, top_in_group
+from barloom.operators.ranking import strongest_first
+from barloom.operators.spread import per_day, running_last, running_total, top_in_group
 from barloom.schemas import BUY, LOW_HIGH, SELL
 
 
+#: Why an entry was left, in the order in which the reasons are tried on one bar.
+REASONS = ("take_profit", "stop_loss", "time", "signal", "final")
+
+
+def _doubled(values: np.ndarray, levels: int, pick: np.ufunc) -> list[np.ndarray]:
+    """Tables of ``pick`` over the next 1, 2, 4, ... values; shorter at the end, where fewer are left."""
+    tables = [values]
+    for level in range(levels):
+        last = tables[-1]
+        tables.append(pick(last[: -(1 << level)], last[1 << level :]) if len(last) > 1 << level else last[:0])
+    return tables
+
+
+def first_exits(
+    day: np.ndarray, high: np.ndarray, low: np.ndarray, score: np.ndarray, last_day: int,
+    entries: np.ndarray, upper: np.ndarray, lower: np.ndarray, hold: int,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Row and reason of the first exit after each of ``entries``, rows of one ticker in date order.
+
+    The row is -1 where none of the next ``hold`` rows settles it. Barriers are found by halving: the
+    highest high and lowest low of the next 1, 2, 4, ... rows are tabled once, and an entry skips the
+    longest stretches that cross neither, so the steps are the logarithm of ``hold``.
+    """
+    n = len(day)
+    end = np.minimum(entries + hold, n - 1)  # last row that may settle the entry
+    levels = int(hold).bit_length()
+    highs, lows = _doubled(high, levels, np.maximum), _doubled(low, levels, np.minimum)
+    at = entries + 1
+    for level in range(levels, -1, -1):
+        if not len(highs[level]):
+            continue
+        fits = at + (1 << level) - 1 <= end
+        here = np.minimum(at, len(highs[level]) - 1)
+        quiet = (highs[level][here] < upper) & (lows[level][here] > lower)
+        at = np.where(fits & quiet, at + (1 << level), at)
+    rows = np.arange(n)
+    # The nearest row at or after each one whose score is negative; n where there is none.
+    weak = np.minimum.accumulate(np.where(score < 0, rows, n)[::-1])[::-1]
+    after = np.append(weak, n)[entries + 1]
+    late = np.searchsorted(day, day[entries] + hold)
+    final = np.where(entries < n - 1, n - 1, n) if day[-1] == last_day else n
+    hit = np.minimum(np.minimum(at, after), np.minimum(late, final))
+    settled = hit <= end
+    hit = np.where(settled, hit, -1)
+    why = np.select(
+        [high[hit] >= upper, low[hit] <= lower, day[hit] - day[entries] >= hold, score[hit] < 0], [0, 1, 2, 3], 4
+    )
+    return hit, np.where(settled, why, 4)
+
+
 def exit_outcomes(
     day_bars: DataFrame,
     take_profit: float,
@@ -31,69 +83,61 @@ def exit_outcomes(
     time, then a negative score, then the last day. A ticker's ``hold``-th row after the entry is
     at least ``hold`` days later, so that many rows always settle the exit; fewer remain only at
     the end of the ticker's data, where the last close is the exit if the last day has no bar.
+
+    A ticker's rows, at most one per date, meet in a task in the partitioning the scores already have;
+    prices are column expressions before and after it.
     """
     if hold < 1:
         raise ValueError("hold must be at least one day")
     indexed = day_bars.join(per_day(day_table(day_bars)), "date")
-    quoted = indexed.withColumns(
-        {
-            "_buy": pricing.buy_price(fill),
-            "_sell": pricing.sell_price(fill),
-        }
+    buy = pricing.buy_price(fill)
+    quoted = indexed.select(
+        "ticker", "date", "day", "last_day", "last_date",
+        *[F.col(c).cast("double").alias(c) for c in ("high", "low", "close", "score")],
+        ((F.col("score") > threshold) & ~F.isnan("score") & (F.col("day") < F.col("last_day"))).alias("entry"),
+        buy.alias("buy"),
+        (buy * (1.0 + take_profit)).alias("upper"),
+        (buy * (1.0 - stop_loss)).alias("lower"),
+        pricing.sell_price(fill).alias("sell"),
     )
-    bar = F.struct(
-        "day",
-        "date",
-        F.col("high").cast("double").alias("high"),
-        F.col("low").cast("double").alias("low"),
-        F.col("close").cast("double").alias("close"),
-        F.col("_sell").alias("sell"),
-        F.col("score").alias("score"),
-    )
-    later = along().rowsBetween(1, hold)
-    entries = (
-        quoted.withColumn("_later", F.collect_list(bar).over(later))
-        .transform(above, threshold)
-        .filter(F.col("day") < F.col("last_day"))
-    )
-
-    upper = F.col("_buy") * (1.0 + take_profit)
-    lower = F.col("_buy") * (1.0 - stop_loss)
-
-    def reason(b: Column) -> Column:
-        return (
-            F.when(b["high"] >= upper, "take_profit")
-            .when(b["low"] <= lower, "stop_loss")
-            .when(b["day"] - F.col("day") >= hold, "time")
-            .when(b["score"] < 0, "signal")
-            .when(b["day"] == F.col("last_day"), "final")
-        )
-
-    def price(b: Column) -> Column:
-        why = reason(b)
-        return (
-            F.when(why == "take_profit", pricing.tick_floor(upper))
-            .when(why == "stop_loss", pricing.tick_floor(lower))
-            .when(why == "time", pricing.tick_floor(b["close"]))
-            .otherwise(b["sell"])
-        )
 
-    hits = F.filter("_later", lambda b: reason(b).isNotNull())
-    held = entries.withColumn("_hit", F.get(hits, F.lit(0))).withColumn(
-        "_mark",
-        F.coalesce(F.try_element_at("_later", F.lit(-1))["close"], F.col("close").cast("double")),
+    def settle(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("date")
+        number = lambda c, missing: rows.column(c).fill_null(missing).to_numpy()
+        entries = np.flatnonzero(number("entry", False))
+        # A missing price crosses nothing; NaN sorts above all numbers, as in SQL.
+        high, low = number("high", -np.inf), number("low", np.inf)
+        high, low = np.where(np.isnan(high), np.inf, high), np.where(np.isnan(low), np.inf, low)
+        upper, lower = number("upper", np.inf)[entries], number("lower", -np.inf)[entries]
+        day, last_day = rows.column("day").to_numpy(), rows.column("last_day")[0].as_py()
+        hit, why = first_exits(day, high, low, number("score", 0.0), last_day, entries, upper, lower, hold)
+        own, exits = rows.take(entries), rows.take(pa.array(np.maximum(hit, 0), mask=hit < 0))
+        mark = rows.column("close").take(np.minimum(entries + hold, len(day) - 1))
+        columns = {c: own.column(c) for c in ("ticker", "date", "day", "last_day", "last_date", "buy", "upper", "lower")}
+        columns |= {f"hit_{c}": exits.column(c) for c in ("date", "day", "close", "sell")}
+        columns |= {"mark": mark, "why": pa.array(np.array(REASONS, object)[why], pa.string())}
+        return pa.table(columns)
+
+    schema = (
+        "ticker string, date date, day int, last_day int, last_date date, buy double, upper double, lower double,"
+        " hit_date date, hit_day int, hit_close double, hit_sell double, mark double, why string"
     )
-    closed = F.col("_hit").isNotNull()
-    return held.select(
+    settled = quoted.groupBy("ticker").applyInArrow(settle, schema)
+    why, closed = F.col("why"), F.col("hit_day").isNotNull()
+    price = (
+        F.when(why == "take_profit", pricing.tick_floor(F.col("upper")))
+        .when(why == "stop_loss", pricing.tick_floor(F.col("lower")))
+        .when(why == "time", pricing.tick_floor(F.col("hit_close")))
+        .otherwise(F.col("hit_sell"))
+    )
+    return settled.select(
         "ticker",
         F.col("date").alias("entry_date"),
-        F.when(closed, F.col("_hit.date")).otherwise(F.col("last_date")).alias("exit_date"),
-        F.col("_buy").alias("entry_price"),
-        F.when(closed, price(F.col("_hit"))).otherwise(F.col("_mark")).alias("exit_price"),
-        (F.when(closed, F.col("_hit.day")).otherwise(F.col("last_day")) - F.col("day")).alias(
-            "days_held"
-        ),
-        F.when(closed, reason(F.col("_hit"))).otherwise("final").alias("exit_reason"),
+        F.coalesce("hit_date", "last_date").alias("exit_date"),
+        F.col("buy").alias("entry_price"),
+        F.when(closed, price).otherwise(F.col("mark")).alias("exit_price"),
+        (F.coalesce("hit_day", "last_day") - F.col("day")).alias("days_held"),
+        why.alias("exit_reason"),
     )
 
 
@@ -271,14 +315,15 @@ def settle_cash(actions: DataFrame, days: DataFrame, start_cash: float) -> DataF
 def mark_to_last_close(positions: DataFrame, bars: DataFrame) -> DataFrame:
     """Value of dated positions at the day's close, or the last close before it.
 
-    ``positions`` has ticker, date and shares; at most one row per (ticker, date).
+    ``positions`` has ticker, date and shares; repeated rows stay. Bars and positions are sorted together,
+    and each slice carries its last closes on to the next, so a ticker may hold any share of the rows.
     """
-    closes = bars.select("ticker", "date", F.col("close").cast("double").alias("close"))
-    both = closes.join(positions, ["ticker", "date"], "full")
-    so_far = along().rowsBetween(Window.unboundedPreceding, 0)
+    closes = bars.select("ticker", "date", F.col("close").cast("double").alias("_close"), F.lit(0).alias("_kind"))
+    # A day's close comes before the positions that it marks.
+    both = positions.withColumn("_kind", F.lit(1)).unionByName(closes, allowMissingColumns=True)
+    carried = running_last(both, ["ticker"], [F.asc("date"), F.asc("_kind")], "_close", "mark")
     return (
-        both.withColumn("mark", F.last("close", ignorenulls=True).over(so_far))
-        .filter(F.col("shares").isNotNull())
+        carried.filter(F.col("_kind") == 1)
         .withColumn("value", F.col("mark") * F.col("shares"))
         .select(*positions.columns, "mark", "value")
     )

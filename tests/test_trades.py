@@ -1,6 +1,8 @@
 import datetime as dt
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,21 +24,56 @@ def bars(spark, rows):
     )
 
 
+def legal(price):
+    """The price rounded down to the tick of its band."""
+    tick = 0.05 if price < 50 else 0.1
+    return math.floor(price / tick + 1e-9) * tick
+
+
 @pytest.mark.parametrize(
-    "low, high, close, tp, sl, hold, price, reason",
+    "low, high, close, profit, loss, hold, aim, reason",
     [
-        (10.0, 12.0, 11.0, 0.1, 0.5, 9, 11.0, "take_profit"),
-        (8.0, 10.0, 9.0, 0.5, 0.1, 9, 9.0, "stop_loss"),
-        (10.0, 11.0, 10.5, 0.5, 0.5, 1, 10.5, "time"),
-        (8.0, 12.0, 10.0, 0.1, 0.1, 9, 11.0, "take_profit"),
+        (41.3, 47.9, 44.0, 0.13, 0.4, 6, 41.2 * 1.13, "take_profit"),
+        (33.1, 42.0, 35.0, 0.3, 0.18, 6, 41.2 * 0.82, "stop_loss"),
+        (40.2, 43.0, 41.73, 0.3, 0.3, 1, 41.73, "time"),
+        (30.0, 55.0, 40.0, 0.27, 0.18, 6, 41.2 * 1.27, "take_profit"),
     ],
 )
-def test_barriers(spark, low, high, close, tp, sl, hold, price, reason):
-    df = bars(spark, [(1, "A", 0.5, 10.0, 10.0, 10.0), (2, "A", 0.5, low, high, close),
-                      (3, "A", 0.5, 10.0, 10.0, 10.0)])
-    first = trades.exit_outcomes(df, tp, sl, hold).orderBy("entry_date").first()
-    assert (first.exit_reason, first.exit_date) == (reason, day(2))
-    assert first.exit_price == pytest.approx(price)
+def test_one_barrier_at_a_time(spark, low, high, close, profit, loss, hold, aim, reason):
+    df = bars(spark, [(4, "K", 0.7, 41.2, 43.5, 42.0), (6, "K", 0.4, low, high, close), (9, "K", 0.1, 39.0, 44.0, 41.0)])
+    first = trades.exit_outcomes(df, profit, loss, hold).orderBy("entry_date").first()
+    assert (first.exit_reason, first.exit_date, first.entry_price) == (reason, day(6), pytest.approx(41.2))
+    assert first.exit_price == pytest.approx(legal(aim))
+
+
+@pytest.mark.parametrize("hold", [1, 2, 7, 64, 500])
+def test_halving_finds_the_first_row(hold):
+    draw = np.random.default_rng(hold)
+    n = 400
+    dates = np.sort(draw.choice(700, n, replace=False))
+    low = draw.integers(80, 110, n).astype(float)
+    high = low + draw.integers(0, 30, n)
+    score = draw.normal(1.5, 1.0, n)
+    entries = np.flatnonzero(draw.random(n) < 0.7)
+    upper, lower = draw.integers(112, 140, len(entries)) + 0.5, draw.integers(78, 90, len(entries)) + 0.5
+    last = int(dates[-1])
+    hit, why = trades.first_exits(dates, high, low, score, last, entries, upper, lower, hold)
+    for e, (i, top, bottom) in enumerate(zip(entries, upper, lower, strict=True)):
+        wanted = (-1, 4)
+        for j in range(i + 1, min(i + hold, n - 1) + 1):
+            tests = [high[j] >= top, low[j] <= bottom, dates[j] - dates[i] >= hold, score[j] < 0, dates[j] == last]
+            if any(tests):
+                wanted = (j, tests.index(True))
+                break
+        assert (hit[e], why[e]) == wanted
+
+
+def test_missing_prices_settle_nothing(spark):
+    df = bars(spark, [(1, "A", 0.5, 10.0, 10.0, 10.0), (2, "A", 0.5, None, None, None), (3, "A", None, 10.0, 13.0, 12.0),
+                      (1, "B", 0.5, None, 10.0, 10.0), (4, "B", 0.1, 10.0, 10.0, None)])
+    out = {(r.ticker, r.entry_date.day): r for r in trades.exit_outcomes(df, 0.1, 0.5, 9, threshold=0.2).collect()}
+    assert out["A", 1].exit_reason == "take_profit" and out["A", 1].exit_date == day(3)
+    assert out["B", 1].exit_reason == "final" and out["B", 1].exit_price == 10.0 and out["B", 1].entry_price is None
 
 
 def test_signal_final_and_last_mark(spark):
