@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -82,5 +83,13 @@ def affordable_shares(budget: Column, price: Column, cash: Column) -> Column:
     return F.when(price > 0, F.greatest(lots, F.lit(0)) * LOT).otherwise(F.lit(0.0))
 
 
+def whole_lots(budget: float, price: np.ndarray, cash: float) -> np.ndarray:
+    """:func:`affordable_shares` in lots for numbers, with the same arithmetic."""
+    lot_value = np.where(price > 0, price, np.inf) * LOT
+    by_rate = np.floor(cash / (lot_value * (1 + COMMISSION_RATE)))
+    by_minimum = np.floor((cash - MIN_COMMISSION) / lot_value)
+    return np.maximum(np.minimum(np.minimum(np.floor(budget / lot_value), by_rate), by_minimum), 0.0)
+
+
 def lots(shares: Column) -> Column:
     return F.round(shares / LOT).cast("long")

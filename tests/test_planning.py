@@ -60,6 +60,27 @@ def test_plan_buys_draws_down(spark, slots):
     assert expected
 
 
+def test_a_long_list_streams_to_its_end(spark):
+    n = 200_000
+    names = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, "y").otherwise("x").alias("account"),
+        F.format_string("C%07d", "id").alias("ticker"), (F.col("id") + 1).cast("int").alias("rank"),
+    )
+    # Only the last name of each list is cheap enough.
+    price = F.when(F.col("rank") > n - 3, 8.0).otherwise(9_000.0)
+    quoted = names.select(F.col("ticker").alias("symbol"), *[price.alias(f"{c}_price") for c in ("open", "high", "low", "last")])
+    plan = plans.plan_buys(names, quoted, F.lit(20_000.0), 1).collect()
+    assert sorted((r.account, r.code, r.lots) for r in plan) == [("x", f"C{n - 3:07d}", 2), ("y", f"C{n - 2:07d}", 2)]
+
+
+def test_prices_and_accounts_of_any_kind(spark):
+    quoted = spark.createDataFrame([("A", 10.0, 10.0, 10.0, 10.0), ("B", 0.0, 0.0, 0.0, 0.0), ("C", *[float("nan")] * 4)], QUOTES)
+    wanted = spark.createDataFrame([(1, "A", 1), (1, "B", 2), (1, "C", 3), (2, "B", 1), (3, "X", 1)], "account long, ticker string, rank int")
+    plan = plans.plan_buys(wanted, quoted, F.when(F.col("account") == 1, 50_000.0).otherwise(1.0), 1)
+    assert [(r.account, r.code, r.lots) for r in plan.collect()] == [(1, "A", 4)]
+    assert plans.plan_buys(wanted.limit(0), quoted, F.lit(1.0), 1).count() == 0
+
+
 def test_totals_and_symbols(spark, quotes):
     held = spark.createDataFrame([("A", 50), ("B", 1)], "stock_code_id string, shares long")
     wanted = spark.createDataFrame([("x", "A", 1), ("x", "C", 2)], WANTED)
