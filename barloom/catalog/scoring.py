@@ -6,12 +6,18 @@ from pyspark.sql import functions as F
 
 from barloom.catalog import tables as t
 from barloom.catalog.registry import query, r, tidy
+from barloom.functions.signals import FEATURES
 from barloom.operators import metrics, panel, ranking, windows
-from barloom.plans import scoring
+from barloom.plans import regression, scoring
 
 SCORED_SQL = f"SELECT ticker, date, {r('score', 6)} AS score FROM scored"
 
 
+def int_rank(df):
+    """Ranks are longs; the compared form has them as integers."""
+    return df.withColumn("rank", F.col("rank").cast("int"))
+
+
 @query("score_linear", "scored", SCORED_SQL)
 def score_linear(spark, sf):
     return tidy(t.scored(spark, sf).select("ticker", "date", "score"), 6)
@@ -40,19 +46,96 @@ def score_gru(spark, sf):
     return tidy(df.select("ticker", "date", "score"))
 
 
-def fitted(spark, sf):
+def training(spark, sf):
+    """Labelled rows before the cutoff, of tickers with enough of them for a window."""
     train = windows.tagged_split(t.labelled(spark, sf), t.CUTOFF, t.STEPS)
-    train = train.filter(F.col("side") == "train").drop("side")
-    return scoring.fit_huber(train, t.STEPS)
+    return train.filter(F.col("side") == "train").drop("side")
+
+
+def fitted(spark, sf):
+    return scoring.fit_huber(training(spark, sf), t.STEPS)
+
+
+t.CTES["train"] = (
+    "lab",
+    f"""SELECT * FROM lab WHERE date < DATE '{t.CUTOFF}'
+        QUALIFY count(*) OVER (PARTITION BY ticker) >= {t.STEPS}""",
+)
+# Least squares under weights that fall with the error, repeated: three normal equations by Cramer's rule.
+t.CTES["huber"] = (
+    "train",
+    """SELECT 0 AS step, CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b, CAST(0 AS DOUBLE) AS c
+        UNION ALL
+        SELECT step, (sy * (suu * svv - suv * suv) - su * (suy * svv - suv * svy) + sv * (suy * suv - suu * svy)) / d,
+            (s * (suy * svv - suv * svy) - sy * (su * svv - suv * sv) + sv * (su * svy - suy * sv)) / d,
+            (s * (suu * svy - suy * suv) - su * (su * svy - suy * sv) + sy * (su * suv - suu * sv)) / d
+        FROM (SELECT *, s * (suu * svv - suv * suv) - su * (su * svv - suv * sv) + sv * (su * suv - suu * sv) AS d
+            FROM (SELECT any_value(step) AS step, sum(w) AS s, sum(w * u) AS su, sum(w * v) AS sv, sum(w * y) AS sy,
+                sum(w * u * u) AS suu, sum(w * u * v) AS suv, sum(w * v * v) AS svv, sum(w * u * y) AS suy,
+                sum(w * v * y) AS svy
+            FROM (SELECT h.step + 1 AS step, close_return_cs AS u, range_cs AS v, label AS y,
+                CASE WHEN h.step = 0 THEN 1 ELSE
+                1 / greatest(1, abs(label - h.a - h.b * close_return_cs - h.c * range_cs)) END AS w
+                FROM huber h, train WHERE h.step < 60)))
+        WHERE step IS NOT NULL""",
+)
+PAIR = [FEATURES.index("close_return_cs"), FEATURES.index("range_cs")]
+
+
+def fitted_pair(spark, sf):
+    """The label as a linear function of the day's relative return and range."""
+    return regression.fit_windows(training(spark, sf), 1, PAIR)
 
 
-@query("fit_huber")
+@query(
+    "fit_huber",
+    "train huber",
+    f"""SELECT name, {r('value', 6)} AS coefficient, n FROM (
+        UNPIVOT (SELECT a AS intercept, b AS close_return_cs, c AS range_cs FROM huber WHERE step = 60)
+        ON intercept, close_return_cs, range_cs INTO NAME name VALUE value), (SELECT count(*) AS n FROM train)""",
+    recursive=True,
+)
 def fit_huber(spark, sf):
-    """Coefficients of the fitted model, one row per window position and feature."""
-    model = fitted(spark, sf)
-    values = [float(v) for v in model.coefficients]
-    rows = [(i // 12, i % 12, v) for i, v in enumerate(values)]
-    return tidy(spark.createDataFrame(rows, "step int, feature int, coefficient double"), 6)
+    """Coefficients at a threshold of one, and the rows they were fitted on."""
+    model = fitted_pair(spark, sf)
+    names = ["intercept", *[FEATURES[i] for i in PAIR]]
+    values = [model.intercept, *model.coefficients.tolist()]
+    rows = [(name, value, model.n) for name, value in zip(names, values, strict=True)]
+    return tidy(spark.createDataFrame(rows, "name string, coefficient double, n bigint"), 6)
+
+
+@query(
+    "score_huber",
+    "std huber",
+    f"""SELECT ticker, date, {r('a + b * close_return_cs + c * range_cs', 6)} AS score
+        FROM std, huber WHERE step = 60""",
+    recursive=True,
+)
+def score_huber(spark, sf):
+    """Every bar by the fitted function of its relative return and range."""
+    model = fitted_pair(spark, sf)
+    weights = [0.0] * len(FEATURES)
+    for i, value in zip(PAIR, model.coefficients.tolist(), strict=True):
+        weights[i] = value
+    df = scoring.score(t.std(spark, sf), scoring.LinearScorer([weights], model.intercept), 1)
+    return tidy(df.select("ticker", "date", "score"), 6)
+
+
+@query(
+    "fit_huber_windows",
+    "train",
+    f"""SELECT position, n, CAST(0 AS DOUBLE) AS slope FROM
+        (SELECT unnest(range(-1, {t.STEPS * len(FEATURES)}))::INTEGER AS position),
+        (SELECT count(*) AS n FROM (SELECT row_number() OVER (PARTITION BY ticker ORDER BY date) AS k FROM train)
+            WHERE k >= {t.STEPS})""",
+)
+def fit_huber_windows(spark, sf):
+    """The fit on whole windows; at the least loss the slope in every coefficient is zero."""
+    rows = regression.window_rows(training(spark, sf), t.STEPS)
+    model = regression.fit_windows(training(spark, sf), t.STEPS)
+    slopes = regression.stationarity(rows, model)
+    # Zero has no sign here.
+    return tidy(slopes, 6).withColumn("slope", F.col("slope") + F.lit(0.0))
 
 
 @query("score_ml")
@@ -149,7 +232,7 @@ def day_index(spark, sf):
 )
 def rank_by_score(spark, sf):
     df = t.written_day_bars(spark, sf).select("date", "ticker", "score")
-    return tidy(ranking.rank_by_score(df), 6)
+    return tidy(int_rank(ranking.rank_by_score(df)), 6)
 
 
 @query(
@@ -186,7 +269,7 @@ def rank_latest(spark, sf):
     newest = t.scored(spark, sf).groupBy("ticker").agg(
         F.max("date").alias("date"), F.max_by("score", "date").alias("score")
     )
-    return tidy(ranking.rank_latest(newest), 6)
+    return tidy(int_rank(ranking.rank_latest(newest)), 6)
 
 
 @query(
@@ -196,4 +279,4 @@ def rank_latest(spark, sf):
         CAST(row_number() OVER (ORDER BY score DESC, ticker) AS INTEGER) AS rank FROM latest""",
 )
 def rank(spark, sf):
-    return tidy(scoring.rank(t.bars(spark, sf), t.SCORER, t.STEPS, lookback_days=t.RANK_DAYS), 6)
+    return tidy(int_rank(scoring.rank(t.bars(spark, sf), t.SCORER, t.STEPS, lookback_days=t.RANK_DAYS)), 6)

@@ -31,14 +31,15 @@ class LinearScorer:
     the earlier rows by ``lag``, so no window array is built.
     """
 
-    def __init__(self, weights: Sequence[Sequence[float]]):
+    def __init__(self, weights: Sequence[Sequence[float]], intercept: float = 0.0):
         self.weights = [list(map(float, row)) for row in weights]
+        self.intercept = intercept
 
     def score(self, std: DataFrame, steps: int) -> DataFrame:
         if len(self.weights) != steps:
             raise ValueError("one row of weights per step is needed")
         order = along()
-        total = F.lit(0.0)
+        total = F.lit(self.intercept)
         for step, row in enumerate(self.weights):
             terms = [F.get("feature", F.lit(i)).cast("double") * w for i, w in enumerate(row) if w]
             if not terms:

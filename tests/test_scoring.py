@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.operators import metrics
-from barloom.plans import scoring
+from barloom.plans import regression, scoring
 
 EPOCH = dt.date(2020, 1, 1)
 
@@ -155,3 +155,57 @@ def test_weights_come_from_a_table(spark):
     for wrong in (rows[1:], rows + rows[:1], [(rows[0][0], [1], [0.0]), *rows[1:]], [("other", [1], [0.0]), *rows[1:]]):
         with pytest.raises(ValueError):
             scoring.read_gru_weights(spark.createDataFrame(wrong, schema))
+
+
+def huber_rows(spark, n, noise, outliers):
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(n, 3))
+    y = 0.7 + x @ np.array([2.0, -1.5, 0.0]) + noise * draw.normal(size=n)
+    y[:outliers] += 40.0
+    df = spark.createDataFrame([(v.tolist(), float(t)) for v, t in zip(x, y, strict=True)] + [(None, 1.0), ([1.0, 2.0, 3.0], None)],
+                               "x array<double>, y double")
+    return df, x, y
+
+
+def test_huber_finds_a_linear_function(spark):
+    df, _, _ = huber_rows(spark, 200, 0.0, 0)
+    model = regression.huber(df, 3)
+    assert model.converged and model.n == 200
+    assert [model.intercept, *model.coefficients] == pytest.approx([0.7, 2.0, -1.5, 0.0], abs=1e-9)
+
+
+@pytest.mark.parametrize("delta", [0.5, 1.0, 3.0])
+def test_huber_is_at_the_least_loss(spark, delta):
+    df, x, y = huber_rows(spark, 300, 0.8, 12)
+    model = regression.huber(df, 3, delta)
+
+    def loss(beta):
+        off = np.abs(y - beta[0] - x @ beta[1:])
+        return float(np.where(off <= delta, off * off / 2, delta * (off - delta / 2)).mean())
+
+    best = np.array([model.intercept, *model.coefficients])
+    assert model.converged
+    for i in range(4):
+        for step in (-1e-3, 1e-3):
+            moved = best.copy()
+            moved[i] += step
+            assert loss(moved) > loss(best)
+    slopes = {r.position: (r.n, r.slope) for r in regression.stationarity(df, model).collect()}
+    assert sorted(slopes) == [-1, 0, 1, 2]
+    assert all(n == 300 and abs(slope) < 1e-8 for n, slope in slopes.values())
+    assert abs(best[1] - 2.0) < 0.3  # a squared loss is moved by the outliers
+    with pytest.raises(ValueError):
+        regression.huber(df.limit(0), 3)
+    with pytest.raises(ValueError):
+        regression.huber(df, 3, delta=0.0)
+
+
+def test_huber_of_windows_scores_like_its_function(spark, std):
+    labelled = std.withColumn("label", F.get("feature", F.lit(2)).cast("double") * 2 + 1)
+    model = regression.fit_windows(labelled, steps=3)
+    wanted = np.zeros((3, 12))
+    wanted[2, 2] = 2.0
+    assert np.allclose(model.step_weights(3), wanted, atol=1e-7) and model.intercept == pytest.approx(1.0)
+    scores = by_key(scoring.score(std, scoring.LinearScorer(model.step_weights(3), model.intercept), 3))
+    labels = {(r.ticker, r.date): r.label for r in labelled.collect()}
+    assert scores and all(s == pytest.approx(labels[k], abs=1e-6) for k, s in scores.items())
