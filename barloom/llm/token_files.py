@@ -8,11 +8,13 @@ Documents are sorted by id over all files; a table beside the files lists those
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +33,18 @@ HEADER = struct.Struct("<8sIQQQqQQ")
 INDEX = struct.Struct("<IQQ")
 #: The directory counts the entries before each block of so many bits.
 BLOCK_BITS = 512
-#: Distinct pieces of text whose ids a worker remembers.
-REMEMBERED = 400_000
+#: Distinct pieces of text whose ids a worker remembers, and the characters it encodes at once.
+REMEMBERED, AT_ONCE = 700_000, 1 << 20
 #: Ids in one Arrow batch, unless one document has more.
 BATCH_IDS = 1 << 20
 SPECIAL = "<|endoftext|>"
+# The vocabulary's splitting pattern, with the letters and digits there are up to Latin Extended-B.
+_LETTERS, _DIGITS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
+PIECES = re.compile(
+    rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_DIGITS}]+| ?[^\s{_LETTERS}{_DIGITS}]+|\s+(?!\S)|\s+"
+)
+#: Characters beyond those, and control characters that count as white space in one library only.
+OTHER = re.compile("[^\x00-\x1b\x20-ɏ]")
 
 
 @dataclass
@@ -147,15 +156,13 @@ def encoder(vocabulary: str | None = None) -> Callable[[list[str]], list[bytes]]
     """Token ids of texts by a byte-level BPE of the tokenizers library, as little-endian u32 bytes.
 
     A byte-level BPE encodes the pieces of its splitting pattern one by one, so each distinct piece is
-    encoded once and remembered. Texts with characters beyond Latin Extended-B, where the Unicode tables of
-    two pattern libraries could differ, and texts that hold the special token are encoded whole.
+    encoded once and remembered. Texts with characters that the pattern here does not cover, and texts that
+    hold the special token, are encoded whole.
     """
     import public_tokenizers as public
-    import regex
     from tokenizers import Tokenizer
 
     bpe = Tokenizer.from_file(vocabulary or public.path("byte_bpe_50k.json"))
-    pieces, beyond = regex.compile(public.PATTERN), regex.compile("[^\x00-ɏ]")
     known: dict[str, bytes] = {}
 
     def learn(missing: list[str]) -> None:
@@ -165,24 +172,32 @@ def encoder(vocabulary: str | None = None) -> Callable[[list[str]], list[bytes]]
         known.update((piece, ids[a:b]) for piece, a, b in zip(missing, at, at[1:], strict=False))
 
     def encode(texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for text in texts:
-            if SPECIAL in text or beyond.search(text):
-                out.append(np.array(bpe.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
-                continue
-            split = pieces.findall(text)
-            missing = [piece for piece in dict.fromkeys(split) if piece not in known]
-            if missing:
-                if len(known) > REMEMBERED:
-                    known.clear()
-                    missing = list(dict.fromkeys(split))
-                learn(missing)
-            out.append(b"".join(map(known.__getitem__, split)))
-        return out
+        whole = [SPECIAL in text or OTHER.search(text) is not None for text in texts]
+        split = [[] if other else PIECES.findall(text) for text, other in zip(texts, whole, strict=True)]
+        if len(known) > REMEMBERED:
+            known.clear()
+        missing = set(chain.from_iterable(split)).difference(known)
+        if missing:
+            learn(list(missing))
+        ids = known.__getitem__
+        return [
+            np.array(bpe.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if other else b"".join(map(ids, own))
+            for text, other, own in zip(texts, whole, split, strict=True)
+        ]
 
     return encode
 
 
+def _at_once(texts: list[str]) -> Iterator[slice]:
+    """Runs of texts of about ``AT_ONCE`` characters."""
+    start = size = 0
+    for i, text in enumerate(texts, 1):
+        size += len(text)
+        if size >= AT_ONCE or i == len(texts):
+            yield slice(start, i)
+            start, size = i, 0
+
+
 def _opened(folder: str):
     """File system and path of a folder that all executors share."""
     from pyarrow import fs
@@ -222,14 +237,15 @@ def write_token_files(
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, fields, strict=True)], schema=fields)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                own = encode([text.as_py() or ""])[0] + end
-                doc_ids.append(doc_id.as_py())
-                ids.append(own)
-                held += len(own) // 4
-                if held >= ids_per_file:
-                    yield flush()
-                    doc_ids, ids, held, seq = [], [], 0, seq + 1
+            names, texts = batch.column(0).to_pylist(), batch.column(1).fill_null("").to_pylist()
+            for run in _at_once(texts):
+                for doc_id, own in zip(names[run], encode(texts[run]), strict=True):
+                    doc_ids.append(doc_id)
+                    ids.append(own + end)
+                    held += len(own) // 4 + 1
+                    if held >= ids_per_file:
+                        yield flush()
+                        doc_ids, ids, held, seq = [], [], 0, seq + 1
         if ids:
             yield flush()
 

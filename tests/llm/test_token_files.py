@@ -1,6 +1,7 @@
 """Token files: the Elias-Fano index, exact round trips and ids against the tokenizer itself."""
 
 import io
+import random
 import zlib
 
 import numpy as np
@@ -50,6 +51,20 @@ def own_ids(text, end_id):
     return [*bpe.encode(text or "", add_special_tokens=False).ids, end_id]
 
 
+def test_pieces_are_those_of_the_tokenizer():
+    bpe = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    draw = random.Random(3)
+    letters, common = [chr(i) for i in range(0x250)], " \n\t'abS1.,_²½\x85\xa0\x1bsdt"
+    texts = ["".join(draw.choice(letters if draw.random() < 0.4 else common) for _ in range(14)) for _ in range(4000)]
+    covered = [text for text in texts if not token_files.OTHER.search(text)]
+    assert len(covered) > 3000
+    for text in covered:
+        assert token_files.PIECES.findall(text) == [text[a:b] for _, (a, b) in bpe.pre_tokenizer.pre_tokenize_str(text)]
+    encode = token_files.encoder()
+    own = [np.frombuffer(ids, "<u4").tolist() for ids in encode(texts)]
+    assert own == [bpe.encode(text, add_special_tokens=False).ids for text in texts]
+
+
 def test_round_trip(spark, hard):
     folder = scratch_path(spark, "tokens")
     docs = hard.unionByName(spark.createDataFrame([(-3, "it's <|endoftext|> 日本語 \x85\x1c don't  end  ")], "doc_id long, text string"), True)
