@@ -98,17 +98,20 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(spelled, " +", " "))
 
 
-def digest(text: Column) -> Column:
-    """Digest of the canonical text; null if nothing remains."""
-    words = canonical(text)
-    return F.when(words != "", F.sha2(words, 256))
+def digested(df: DataFrame, text: Column) -> DataFrame:
+    """Add ``digest``, that of the canonical text; null if nothing remains.
+
+    The words are a column of their own on the way, so that they are made once.
+    """
+    words = df.withColumn("_words", canonical(text))
+    return words.withColumn("digest", F.when(F.col("_words") != "", F.sha2("_words", 256))).drop("_words")
 
 
 def known_digests(known: DataFrame) -> DataFrame:
     """``digest`` and ``licence`` of known texts (``licence``, ``text``); of several licences with one
     digest, the first by name."""
     return (
-        known.select("licence", digest(F.col("text")).alias("digest"))
+        digested(known.select("licence", "text"), F.col("text"))
         .filter("digest is not null and licence is not null")
         .groupBy("digest")
         .agg(F.min("licence").alias("licence"))
@@ -129,8 +132,9 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     line = F.transform(F.split(text, "\n"), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("text")))
     whole = F.array(F.struct(F.lit(True).alias("whole"), text.alias("text")))
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text")
-    pieces = rows.select("_row", "doc_id", F.explode(F.concat(whole, line)).alias("piece")).select("_row", "doc_id", "piece.whole", digest(F.col("piece.text")).alias("digest"))
-    found = pieces.join(known_digests(known), "digest", "left")
+    pieces = rows.select("_row", "doc_id", F.explode(F.concat(whole, line)).alias("piece"))
+    hashed = digested(pieces, F.col("piece.text")).select("_row", "doc_id", "piece.whole", "digest")
+    found = hashed.join(known_digests(known), "digest", "left")
     notices = F.array_sort(F.collect_set(F.when(~F.col("whole"), F.col("licence"))))
     return (
         found.groupBy("_row", "doc_id")
