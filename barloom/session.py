@@ -95,9 +95,30 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        for path in _OWNED.blocks.pop():
-            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        remove(spark, _OWNED.blocks.pop())
+
+
+@contextmanager
+def tracked() -> Iterator[list[str]]:
+    """The paths that ``scratch_path`` and ``cut_lineage`` make inside the block, for its owner to remove.
+
+    A ``scratch`` block around it owns them too.
+    """
+    paths: list[str] = []
+    _OWNED.blocks.append(paths)
+    try:
+        yield paths
+    finally:
+        _OWNED.blocks.pop()
+        if _OWNED.blocks:
+            _OWNED.blocks[-1].extend(paths)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders, if they are there."""
+    for path in paths:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
