@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from barloom.catalog import tables as t
 from barloom.catalog.registry import query, r, tidy
 from barloom.operators import history as ops
-from barloom.plans.features import consolidate
+from barloom.functions.signals import FEATURES
+from barloom.plans.features import consolidate, standardize
 from barloom.session import scratch_path
 from barloom.sources.history import read_history, write_history
+from barloom.sources.panel import store_panel, upsert_panel
 from barloom.streaming.bars import by_file_time, compact, read_upserted, stream_adjust, stream_upsert
 
 BAR_SQL = "market, code, date, " + ", ".join(
@@ -215,6 +217,30 @@ def consolidated(spark, sf):
     return tidy(consolidate([t.stored(spark, sf), t.refetched(spark, sf)]))
 
 
+def panel(df):
+    """``df`` stored by ticker under a name of its own; returns the name."""
+    path = scratch_path(df.sparkSession, "panel")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    store_panel(df, name, path, buckets=16)
+    return name
+
+
+@query("panel_upsert", "newest", f"SELECT {BAR_SQL} FROM newest")
+def panel_upsert(spark, sf):
+    """The stored part as a panel, with the later fetch merged in."""
+    stored = panel(t.stored(spark, sf).withColumn("source_seq", F.lit(0)))
+    fresh = t.refetched(spark, sf).withColumn("source_seq", F.lit(1))
+    return tidy(upsert_panel(spark, stored, fresh).drop("source_seq"))
+
+
+@query("panel_features", "std", f"SELECT ticker, date, {r('close_return')} AS close_return, {r('range_cs')} AS range_cs FROM std")
+def panel_features(spark, sf):
+    """Features from bars that are stored by ticker."""
+    std = standardize(spark.table(panel(t.bars(spark, sf))))
+    value = lambda name: F.get("feature", F.lit(FEATURES.index(name))).cast("double").alias(name)
+    return tidy(std.select("ticker", "date", value("close_return"), value("range_cs")))
+
+
 @query("stream_upsert", "newest", f"SELECT {BAR_SQL} FROM newest")
 def upsert(spark, sf):
     """Two landed files, the later overlapping the earlier, streamed one per micro-batch."""
