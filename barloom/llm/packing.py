@@ -15,11 +15,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barloom.llm.common import require
-from barloom.operators.spread import rank_within
 from barloom.session import cut_lineage
 
 #: Multiplicative weights: how far one step covers a length, how sharply prices react, the share of the
@@ -237,18 +238,39 @@ def _places(plan: list[tuple[list[tuple[int, int]], int]]) -> list[tuple[int, in
 
 
 def place_pieces(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to pieces that have ``doc_id``, ``piece`` and ``length``.
+    """Add ``sequence_id`` and ``offset`` to pieces that have ``length``.
 
-    The lengths are counted, the plan is made on the driver from at most ``capacity`` counts, and the
-    plan's rows are broadcast: each is a length in a filling, and the fillings number at most a few
-    thousand for any input. The pieces are written to the shared folder first, so that tokens are made once. An empty table gives an empty table.
+    The pieces are written to the shared folder once, each with its number among those of its length in the
+    task that wrote it; counts per task and length turn that into a number among all of the length, so
+    nothing is sorted. The lengths are counted, the plan is made on the driver from at most ``capacity``
+    counts, and the plan's rows are broadcast: each is a length in a filling, and the fillings number at most
+    a few thousand for any input. An empty table gives an empty table.
     """
-    pieces = cut_lineage(pieces)  # ranking samples its input before it reads it
-    ranked = rank_within(pieces, ["length"], [F.col("doc_id"), F.col("piece")], "_rank")
-    histogram = {int(n): int(c) for n, c in ranked.groupBy("length").count().collect()}
+    names = [*pieces.columns, "_task", "_nth"]
+    schema = T.StructType([*pieces.schema.fields, T.StructField("_task", T.IntegerType()), T.StructField("_nth", T.LongType())])
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, task = np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
+        for batch in batches:
+            length = batch.column("length").to_numpy()
+            order = np.argsort(length, kind="stable")
+            sizes = np.bincount(length, minlength=capacity + 1)
+            firsts = np.cumsum(sizes) - sizes
+            nth = np.empty(len(length), np.int64)
+            nth[order] = np.arange(len(length)) - firsts[length[order]] + seen[length[order]] + 1
+            seen += sizes
+            tasks = pa.array(np.full(len(length), task, np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns, tasks, pa.array(nth)], names=names)
+
+    numbered = cut_lineage(pieces.mapInArrow(number, schema))
+    counts = cut_lineage(numbered.groupBy("_task", "length").agg(F.count(F.lit(1)).alias("_n")))
+    histogram = {int(n): int(c) for n, c in counts.groupBy("length").agg(F.sum("_n")).collect()}
     rows = _places(plan_sequences(histogram, capacity))
     schema = "_length bigint, _first bigint, _last bigint, _per bigint, _sequence bigint, _offset bigint"
     places = pieces.sparkSession.createDataFrame(rows, schema)
+    before = Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_task", "length", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    ranked = numbered.join(offsets, ["_task", "length"]).withColumn("_rank", F.col("_nth") + F.col("_before"))
     fits = (F.col("length") == F.col("_length")) & F.col("_rank").between(F.col("_first"), F.col("_last"))
     nth = F.col("_rank") - F.col("_first")
     return (
