@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -23,11 +24,13 @@ from pyspark.sql import types as T
 from barloom.llm.common import require
 from barloom.session import cut_lineage
 
-#: Multiplicative weights: how far one step covers a length, how sharply prices react, the share of the
-#: tokens that may stay uncovered, and a bound on the steps of one solve.
-STEP, SHARPNESS, UNCOVERED, MAX_STEPS = 0.5, 4.0, 0.1, 1500
-#: Solves of the program on what rounding left over, before best fit takes the rest.
-ROUNDS = 2
+#: Multiplicative weights: how sharply prices fall as a length gets covered, how much more than in proportion
+#: long pieces are worth, the share of the tokens that may stay uncovered, and about how many steps a solve takes.
+SHARPNESS, LONGER, UNCOVERED, RESOLUTION = 1.0, 0.3, 0.1, 1000
+#: The least and the most of a length that one step covers.
+STEPS = (0.02, 1.0)
+#: Solves of the program, each on what rounding left over, before best fit takes the rest.
+ROUNDS = 3
 
 
 @lru_cache(maxsize=2)
@@ -96,11 +99,13 @@ def token_pieces(
     return source.mapInArrow(cut, ddl + ", ids binary" * with_ids)
 
 
-def _priced(lengths: np.ndarray, values: np.ndarray, counts: np.ndarray, capacity: int) -> dict[int, int]:
+def _priced(
+    lengths: np.ndarray, values: np.ndarray, counts: np.ndarray, capacity: int
+) -> tuple[dict[int, int], float]:
     """The most valuable filling of one sequence: a knapsack by dynamic programming over the capacity.
 
-    Returns position in ``lengths`` -> pieces. A length that has too few pieces for the filling is cut
-    back to what it has.
+    Returns position in ``lengths`` -> pieces, and the value. A length that has too few pieces for the
+    filling is cut back to what it has; the value is that of the filling before.
     """
     best = np.zeros(capacity + 1)
     taken = np.full(capacity + 1, -1)
@@ -123,7 +128,7 @@ def _priced(lengths: np.ndarray, values: np.ndarray, counts: np.ndarray, capacit
         if filling.get(top, 0) < counts[top]:
             filling[top] = filling.get(top, 0) + 1
         room -= int(lengths[top])
-    return filling
+    return filling, float(best[capacity])
 
 
 def _topped_up(filling: dict[int, int], lengths: np.ndarray, counts: np.ndarray, capacity: int) -> dict[int, int]:
@@ -139,27 +144,34 @@ def _topped_up(filling: dict[int, int], lengths: np.ndarray, counts: np.ndarray,
     return filling
 
 
-def fractional_fillings(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], float]]:
-    """A near-optimal solution of the configuration program: fillings and how often each is used.
+def fractional_fillings(
+    lengths: np.ndarray, counts: np.ndarray, capacity: int
+) -> tuple[list[tuple[dict[int, int], float]], float]:
+    """A near-optimal solution of the configuration program, fillings and how often each is used, and a
+    number of sequences that no packing goes below.
 
-    Multiplicative weights: prices start at the lengths, which are the optimal prices of a packing
-    without waste, and fall as a length gets covered. Each step takes the filling of the highest total
-    price and uses it until some length's cover has grown by ``STEP``.
+    Multiplicative weights: prices start a little above proportion for long pieces, so that these are
+    covered first and short ones remain, and fall as a length gets covered. Each step takes the filling of
+    the highest total price and uses it until some length's cover has grown by a step; fewer lengths get
+    smaller steps. Prices divided by those of the dearest filling solve the dual program, whose value bounds
+    the number of sequences from below.
     """
-    covered = np.zeros(len(lengths))
-    tokens = counts * lengths
+    step = min(max(len(lengths) / RESOLUTION, STEPS[0]), STEPS[1])
+    covered, tokens = np.zeros(len(lengths)), counts * lengths
     used: dict[tuple, float] = {}
-    for _ in range(MAX_STEPS):
-        if (tokens * np.clip(1 - covered, 0, 1)).sum() <= UNCOVERED * tokens.sum():
-            break
-        prices = np.where(covered < 1, lengths * np.exp(-SHARPNESS * (covered - covered.min())), 0)
-        filling = _topped_up(_priced(lengths, prices, counts, capacity), lengths, counts, capacity)
+    least = tokens.sum() / capacity
+    while (tokens * np.clip(1 - covered, 0, 1)).sum() > UNCOVERED * tokens.sum():
+        worth = lengths * (1 + LONGER * lengths / capacity) * np.exp(-SHARPNESS * (covered - covered.min()))
+        prices = np.where(covered < 1, worth, 0)
+        filling, value = _priced(lengths, prices, counts, capacity)
+        least = max(least, float(prices @ counts) / value)
+        filling = _topped_up(filling, lengths, counts, capacity)
         at, times = np.array(list(filling)), np.array(list(filling.values()), float)
-        amount = STEP * float((counts[at] / times).min())
+        amount = step * float((counts[at] / times).min())
         covered[at] += amount * times / counts[at]
         key = tuple(sorted(filling.items()))
         used[key] = used.get(key, 0.0) + amount
-    return [(dict(key), amount) for key, amount in used.items()]
+    return [(dict(key), amount) for key, amount in used.items()], least
 
 
 def _best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -175,51 +187,43 @@ def _best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tu
     return plan
 
 
-def _rounded(
-    lengths: np.ndarray, counts: np.ndarray, capacity: int, most_waste: int, solve: Callable[..., list]
-) -> list[tuple[dict[int, int], int]]:
-    """The fractional solution rounded down, the largest uses first, and solved again for what is left;
-    best fit places the rest. Fillings with more than ``most_waste`` free tokens are left to best fit."""
-    left = counts.copy()
+@dataclass
+class Plan:
+    """Fillings, as lists of (length, pieces), with the number of sequences that use each; the sequences that
+    no packing goes below; and the pieces that best fit placed."""
+
+    fillings: list[tuple[list[tuple[int, int]], int]]
+    least: float
+    by_best_fit: int
+
+
+def plan_sequences(histogram: dict[int, int], capacity: int) -> Plan:
+    """A plan that places every piece of the histogram exactly once.
+
+    The fractional solution is rounded down, but every filling that still fits is used once at least, those
+    with the longest pieces first. The program is solved again for what is left, and best fit places the
+    rest, mostly short pieces.
+    """
+    lengths = np.array(sorted(histogram), int)
+    left = np.array([histogram[n] for n in lengths.tolist()], int)
     plan: list[tuple[dict[int, int], int]] = []
-    for _ in range(ROUNDS):
+    least = 0.0
+    for turn in range(ROUNDS):
         keep = np.flatnonzero(left)
-        if not len(keep) or left.sum() <= len(keep):
+        if not len(keep):
             break
-        part = solve(tuple(lengths[keep].tolist()), tuple(left[keep].tolist()))
-        before = left.sum()
-        for filling, amount in sorted(part, key=lambda x: -x[1]):
+        part, bound = fractional_fillings(lengths[keep], left[keep].astype(float), capacity)
+        least = bound if turn == 0 else least
+        for filling, amount in sorted(part, key=lambda x: (-max(x[0]), -x[1])):
             own = {int(keep[i]): m for i, m in filling.items()}
-            if capacity - sum(int(lengths[i]) * m for i, m in own.items()) > most_waste:
-                continue
-            times = min(int(amount), *(int(left[i]) // m for i, m in own.items()))
+            times = min(max(1, int(amount)), *(int(left[i]) // m for i, m in own.items()))
             if times > 0:
                 for i, m in own.items():
                     left[i] -= times * m
                 plan.append((own, times))
-        if left.sum() > 0.9 * before:
-            break
-    return plan + _best_fit(lengths, left, capacity)
-
-
-def plan_sequences(histogram: dict[int, int], capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
-    """Fillings as lists of (length, pieces), each with the number of sequences that use it.
-
-    Every piece of the histogram is placed exactly once. Of three plans the one with the fewest sequences
-    is taken: every filling of the fractional solution rounded down, only those without a free token, and
-    best fit alone.
-    """
-    lengths = np.array(sorted(histogram), int)
-    counts = np.array([histogram[n] for n in lengths.tolist()], int)
-
-    @lru_cache  # the plans start from the same solution
-    def solve(own: tuple[int, ...], times: tuple[int, ...]) -> list[tuple[dict[int, int], float]]:
-        return fractional_fillings(np.array(own), np.array(times, float), capacity)
-
-    plans = [_rounded(lengths, counts, capacity, most_waste, solve) for most_waste in (capacity, 0)]
-    plans.append(_best_fit(lengths, counts, capacity))
-    plan = min(plans, key=lambda p: sum(times for _, times in p))
-    return [([(int(lengths[i]), m) for i, m in sorted(f.items())], times) for f, times in plan]
+    rest = int(left.sum())
+    plan += _best_fit(lengths, left, capacity)
+    return Plan([([(int(lengths[i]), m) for i, m in sorted(f.items())], times) for f, times in plan], least, rest)
 
 
 def _places(plan: list[tuple[list[tuple[int, int]], int]]) -> list[tuple[int, int, int, int, int, int]]:
@@ -265,7 +269,7 @@ def place_pieces(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     numbered = cut_lineage(pieces.mapInArrow(number, schema))
     counts = cut_lineage(numbered.groupBy("_task", "length").agg(F.count(F.lit(1)).alias("_n")))
     histogram = {int(n): int(c) for n, c in counts.groupBy("length").agg(F.sum("_n")).collect()}
-    rows = _places(plan_sequences(histogram, capacity))
+    rows = _places(plan_sequences(histogram, capacity).fillings)
     schema = "_length bigint, _first bigint, _last bigint, _per bigint, _sequence bigint, _offset bigint"
     places = pieces.sparkSession.createDataFrame(rows, schema)
     before = Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
