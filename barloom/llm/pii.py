@@ -13,6 +13,7 @@ combination of votes comes to the driver, which has at most ``kinds x 3^labelers
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -95,6 +96,8 @@ AGAINST = r"(?i)\b(?:version|release|isbn|invoice|order|serial|part|page|figure|
 LABELERS = ["strict", "listed", "cue", "against"]
 YES, NO, SILENT = 1, 0, -1
 EM_ROUNDS, FIT_ROUNDS = 50, 400
+#: Values that a running fold takes at once, and characters of a block of text.
+RUN, BLOCK = 128, 2048
 #: Candidates that each class counts beforehand, so that a few of one class don't carry all others along.
 BEFOREHAND = 20.0
 
@@ -116,31 +119,102 @@ def _hits(text: Column, kind: str) -> Column:
     return F.when(may, found).otherwise(F.array().cast("array<string>"))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it and inside whatever loop."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(values: Column, merge: Callable[[Column, Column], Column], start: Column) -> Column:
+    """What ``merge`` makes of ``start`` and all values before each one, and of all, as an array one longer
+    than ``values``.
+
+    A fold that appends would copy its array at each step. Here runs of ``RUN`` values are folded by
+    themselves, from where a fold over the runs before them ends.
+    """
+
+    def shifted(runs: Column, whole: Column) -> Column:
+        def one(run: Column, r: Column) -> Column:
+            before = F.aggregate(F.slice(whole, F.lit(1), r), start, merge)
+            # The fold of a full run is the start of the next one.
+            upto = F.sequence(F.lit(0), F.when(r < F.size(runs) - 1, F.size(run) - 1).otherwise(F.size(run)))
+            return _let(before, lambda own: F.transform(upto, lambda i: F.aggregate(F.slice(run, F.lit(1), i), own, merge)))
+
+        return F.flatten(F.transform(runs, one))
+
+    def all_runs(v: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / RUN).cast("int")), lambda r: F.slice(v, r * RUN + 1, F.lit(RUN)))
+
+    def folded(runs: Column) -> Column:
+        return _let(F.transform(runs, lambda run: F.aggregate(run, start, merge)), lambda whole: shifted(runs, whole))
+
+    return _let(values, lambda v: _let(all_runs(v), folded))
+
+
 def _located(text: Column, hits: Column, pattern: str) -> Column:
     """Start, end (code points, exclusive), text and left context of each hit: the 40 characters before it,
     earlier hits among them.
 
-    The pieces between the hits come from a split by the same pattern, so positions are running sums.
+    The pieces between the hits come from a split by the same pattern, so positions are running sums. A hit
+    has five characters at least, so nine hits before one reach over its context.
     """
     empty = F.array().cast("array<struct<start:int,end:int,value:string,before:string>>")
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["piece"])
-        end = start + F.length(x["value"])
-        before = F.right(F.concat(acc["last"], x["piece"]), F.lit(40))
-        span = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"), before.alias("before"))
-        last = F.right(F.concat(before, x["value"]), F.lit(40))
-        return F.struct(end.alias("at"), last.alias("last"), F.array_append(acc["out"], span).alias("out"))
+    def tail(x: Column) -> Column:
+        return F.right(F.concat(F.right(x["piece"], F.lit(40)), x["value"]), F.lit(40))
+
+    def spans(both: Column, ends: Column, tails: Column) -> Column:
+        def span(x: Column, i: Column) -> Column:
+            start = F.get(ends, i) + F.length(x["piece"])
+            first = F.greatest(i - 8, F.lit(1))
+            left = F.concat(F.array_join(F.slice(tails, first, i + 1 - first), ""), F.right(x["piece"], F.lit(40)))
+            return F.struct(
+                start.alias("start"), (start + F.length(x["value"])).alias("end"), x["value"].alias("value"),
+                F.right(left, F.lit(40)).alias("before"),
+            )
+
+        return F.transform(both, span)
+
+    def placed(both: Column) -> Column:
+        sizes = F.transform(both, lambda x: F.length(x["piece"]) + F.length(x["value"]))
+        ends = _running(sizes, lambda total, n: total + n, F.lit(0))
+        return _let(ends, lambda e: _let(F.transform(both, tail), lambda t: spans(both, e, t)))
 
     # The last piece follows the last hit.
     pieces = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
-    folded = F.aggregate(
-        F.arrays_zip(pieces.alias("piece"), hits.alias("value")),
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("last"), empty.alias("out")),
-        step,
-        lambda acc: acc["out"],
+    found = _let(F.arrays_zip(pieces.alias("piece"), hits.alias("value")), placed)
+    return F.when(F.size(hits) > 0, found).otherwise(empty)
+
+
+def _clear_of(more: Column, base: Column) -> Column:
+    """Spans of ``more`` that overlap none of ``base``: both are swept by start, knowing how far the base spans
+    before each one reach, and where the next one begins."""
+    tagged = F.concat(
+        F.transform(base, lambda s: F.struct(s["start"].alias("start"), F.lit(0).alias("more"), s["end"].alias("end"), s.alias("own"))),
+        F.transform(more, lambda s: F.struct(s["start"].alias("start"), F.lit(1).alias("more"), s["end"].alias("end"), s.alias("own"))),
     )
-    return F.when(F.size(hits) > 0, folded).otherwise(empty)
+
+    def kept(swept: Column) -> Column:
+        reach = _running(
+            F.transform(swept, lambda s: F.when(s["more"] == 0, s["end"]).otherwise(0)), lambda far, end: F.greatest(far, end), F.lit(0)
+        )
+        starts = F.transform(F.reverse(swept), lambda s: F.when(s["more"] == 0, s["start"]))
+        following = _running(starts, lambda last, start: F.coalesce(start, last), F.lit(None).cast("int"))
+
+        def alone(reaches: Column, nexts: Column) -> Column:
+            n = F.size(swept)
+            marked = F.transform(
+                swept,
+                lambda s, i: F.struct(
+                    s["own"].alias("own"),
+                    ((s["more"] == 1) & (F.get(reaches, i) <= s["start"])
+                     & F.coalesce(F.get(nexts, n - 1 - i) >= s["end"], F.lit(True))).alias("keep"),
+                ),
+            )
+            return F.transform(F.filter(marked, lambda m: m["keep"]), lambda m: m["own"])
+
+        return _let(reach, lambda r: _let(following, lambda f: alone(r, f)))
+
+    return F.when((F.size(more) > 0) & (F.size(base) > 0), _let(F.array_sort(tagged), kept)).otherwise(more)
 
 
 def _digits(value: Column) -> Column:
@@ -204,10 +278,8 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
         )
 
     held = held.withColumn("_base", F.concat(*[voted(k) for k in BASE_PATTERNS]))
-    more = F.filter(
-        F.concat(*[voted(k) for k in MORE_PATTERNS]),
-        lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
-    )
+    held = held.withColumn("_more", F.concat(*[voted(k) for k in MORE_PATTERNS]))
+    more = _clear_of(F.col("_more"), F.col("_base"))
     return held.withColumn("_candidates", F.concat("_base", more)).select(*docs.columns, "_candidates")
 
 
@@ -320,23 +392,32 @@ def describe(spans: Column) -> Column:
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """The text with every span replaced by its kind in brackets; overlapping spans by the first's."""
+    """The text with every span replaced by its kind in brackets; overlapping spans by the first's.
+
+    Spans are in order. The text is cut into blocks once, and what stays between two spans is taken from the
+    blocks it lies in, so the cost is that of the text and of a block for each span.
+    """
     kinds = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    whole = F.coalesce(text, F.lit(""))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        gap = F.substr(whole, acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(fresh, F.concat(acc["out"], gap, F.element_at(kinds, s["kind"] + 1))).otherwise(acc["out"]).alias("out"),
+
+    def joined(blocks: Column, reach: Column) -> Column:
+        def part(first: Column, last: Column) -> Column:
+            block = (first / BLOCK).cast("int")
+            within = F.array_join(F.slice(blocks, block + 1, (last / BLOCK).cast("int") - block + 1), "")
+            return F.substr(within, first % BLOCK + 1, last - first)
+
+        replaced = F.transform(
+            spans,
+            lambda s, i: F.when(
+                s["start"] >= F.get(reach, i), F.concat(part(F.get(reach, i), s["start"]), F.element_at(kinds, s["kind"] + 1))
+            ),
         )
+        rest = F.slice(blocks, (F.get(reach, F.size(spans)) / BLOCK).cast("int") + 1, F.size(blocks) + 1)
+        after = F.substr(F.array_join(rest, ""), F.get(reach, F.size(spans)) % BLOCK + 1)
+        return F.concat(F.array_join(replaced, ""), after)
 
-    folded = F.aggregate(
-        spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
-        lambda acc: F.concat(acc["out"], F.substr(whole, acc["at"] + 1)),
-    )
-    return F.when(F.size(spans) > 0, folded).otherwise(text)
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    reach = _running(F.transform(spans, lambda s: s["end"]), lambda far, end: F.greatest(far, end), F.lit(0))
+    return F.when(F.size(spans) > 0, _let(blocks, lambda b: _let(reach, lambda r: joined(b, r)))).otherwise(text)
 
 
 def redact(docs: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -109,3 +110,40 @@ def test_digest_of_no_spans(spark):
     df = spark.createDataFrame([(1, "nothing")], "doc_id long, text string")
     row = pii.find(df).select(F.sha2(pii.describe(F.col("spans")), 256).alias("d")).first()
     assert row.d == hashlib.sha256(b"").hexdigest()
+
+
+def test_running_folds_equal_a_loop(spark):
+    for n in (0, 1, pii.RUN - 1, pii.RUN, pii.RUN + 1, 3 * pii.RUN, 1000):
+        values = [(7 * i) % 11 for i in range(n)]
+        df = spark.createDataFrame([(values,)], "v array<int>")
+        got = df.select(pii._running(F.col("v"), lambda a, x: a + x, F.lit(0)).alias("r")).first().r
+        assert got == [sum(values[:i]) for i in range(n + 1)]
+
+
+def test_many_spans_in_one_text_cost_what_they_are(spark):
+    """A text of contacts: a fold that copied its spans would take minutes here."""
+    text = " ".join(f"u{i}@b.co John Smith" for i in range(30_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.monotonic()
+    clean = pii.redact(df).first().text
+    assert time.monotonic() - start < 60
+    assert clean.count("[EMAIL]") == 30_000 and "@" not in clean
+
+
+def test_spans_over_runs_and_blocks(spark):
+    rng = random.Random(8)
+    tokens = ["a@b.co", "x.y@z.org", "123-45-6789", "+1 212 555 0199", "John Smith", "10.0.0.1", "4111 1111 1111 1111", "SSN", "😀é", "\n", "w" * 90]
+    texts = ["".join(rng.choice(tokens) + rng.choice(" -@.") for _ in range(n)) for n in (5, 200, 900, 2500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = pii.find(df).withColumn("clean", pii.redacted(F.col("text"), F.col("spans"))).orderBy("doc_id").collect()
+    for row, text in zip(rows, texts, strict=True):
+        spans = [(s.start, s.end, pii.KINDS[s.kind]) for s in row.spans]
+        assert [f"{k}:{a}:{b}" for a, b, k in spans if k in PLAIN] == brute(text)
+        base = [(a, b) for a, b, k in spans if k in PLAIN]
+        assert not any(a < end and start < b for a, b, k in spans if k not in PLAIN for start, end in base)
+        out, at = "", 0
+        for a, b, kind in spans:
+            if a >= at:
+                out += text[at:a] + f"[{kind.upper()}]"
+            at = max(at, b)
+        assert row.clean == out + text[at:]
