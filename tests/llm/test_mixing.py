@@ -71,3 +71,31 @@ def test_hard_rows(hard, empty):
     assert mixing.mixed_sizes(empty).count() == 0
     assert mixing.mixed_documents(hard).columns == [c for c in hard.columns if c != "row"]
     assert mixing.mixed_documents(empty).count() == 0
+
+
+def test_taken_words_are_those_of_the_drawn_blocks(spark):
+    """Lay a source's words out one by one, cut them into blocks, and count the words of every drawn block."""
+    docs = corpus(spark)
+    sized = mixing.sized(docs)
+    parts = mixing.shares(sized)
+    drawn = mixing.draw_blocks(spark, parts).collect()
+    assert len({(r.number, r.slot) for r in drawn}) == len(drawn) == sum(p.slots for p in parts)
+    words = {p.number: [] for p in parts}
+    number = {p.source: p.number for p in parts}
+    for row in sized.orderBy("doc_id").collect():
+        words[number[row.source]] += [row.doc_id] * row.size
+    taken, passes = {}, set()
+    for r in drawn:
+        assert (r.number, r.block, r["pass"]) not in passes  # once in a pass
+        passes.add((r.number, r.block, r["pass"]))
+        for doc in words[r.number][r.block * mixing.BLOCK : (r.block + 1) * mixing.BLOCK]:
+            taken[doc] = taken.get(doc, 0) + 1
+    assert {r.doc_id: r.taken for r in mixing.mixed_sizes(docs).collect() if r.taken} == taken
+
+
+def test_shards_draw_every_slot_of_a_source_once(spark):
+    parts = [mixing.Share(0, "a", 640_000, 640_000.0, 10_000, 10_000), mixing.Share(1, "b", 64_000, 64_000.0, 1000, 2000)]
+    rows = mixing.draw_blocks(spark, parts, per_shard=512).groupBy("number").agg(
+        F.count("*").alias("n"), F.count_distinct("slot").alias("slots"), F.max("slot").alias("last")
+    ).collect()
+    assert sorted((r.number, r.n, r.slots, r["last"]) for r in rows) == [(0, 10_000, 10_000, 9_999), (1, 2000, 2000, 1999)]

@@ -58,3 +58,43 @@ def test_repeats_are_numbered():
     assert len(omh.numbered_kmers("")) == 0 and len(omh.numbered_kmers("abc")) == 1
     once, twice = omh.numbered_kmers("abcdefghijkl"), omh.numbered_kmers("abcdefghijkl" * 2)
     assert set(once.tolist()) <= set(twice.tolist())
+
+
+M64 = (1 << 64) - 1
+
+
+def mixed(x):
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & M64
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & M64
+    return x ^ (x >> 31)
+
+
+def plain_fingerprint(text):
+    """The definition in loops: rank all numbered k-mers, take the lowest few, put them in the text's order."""
+    kmers = omh.numbered_kmers(text).tolist()
+    names = [text[i : i + omh.KMER] for i in range(max(1, len(text) - omh.KMER + 1))] if text else []
+    seen, numbered = {}, []
+    for name in names:
+        seen[name] = seen.get(name, 0) + 1
+        numbered.append((name, seen[name]))
+    # The hashes stand for the numbered k-mers, and for nothing else.
+    assert len(numbered) == len(kmers) and len(set(zip(numbered, kmers, strict=True))) == len(set(numbered)) == len(set(kmers))
+    out = []
+    for factor, shift in zip(omh._FACTORS.tolist(), omh._SHIFTS.tolist(), strict=True):
+        ranked = sorted((((k >> 32) * factor + shift) % (1 << 32), at) for at, k in enumerate(kmers))
+        chosen = sorted(at for _, at in ranked[: omh.TUPLE])
+        parts = [0] * (omh.TUPLE - len(chosen)) + [kmers[at] for at in chosen]
+        value = 0
+        for part in parts:
+            value = mixed((value * 0x9E3779B97F4A7C15 + part + 1) & M64)
+        out.append(value >> 32)
+    return out
+
+
+def test_fingerprints_equal_the_definition():
+    rng = random.Random(11)
+    texts = ["", "a", "abcdefgh", "aaaaaaaaaaaaaaaaaaaa", "ab" * 700]
+    texts += ["".join(rng.choice("abc 😀é") for _ in range(rng.randint(1, 400))) for _ in range(25)]
+    texts.append("".join(rng.choice("abcdefgh ") for _ in range(2 * omh.BLOCK + 77)))
+    for text in texts:
+        assert omh.fingerprint(text).tolist() == plain_fingerprint(text)
