@@ -23,8 +23,9 @@ from barloom.session import cut_lineage
 
 #: Thresholds of the rounds, as shares of the way from a window's lower to its upper end.
 LEVELS = (0.75, 0.6, 0.0)
-#: Rows of a block; every anchor meets every block, so larger blocks move fewer anchors.
-BLOCK_ROWS = 65_536
+#: Rows of a block, at most about and, but for the last, at least: every anchor meets every block, so larger
+#: blocks move fewer anchors, and smaller ones keep more tasks busy.
+MOST_ROWS, LEAST_ROWS = 65_536, 1024
 #: Dimensions added between two prunings; cells of partial scores, and components of pairs, held at once.
 STRIDE, CELLS, GATHERED = 8, 1 << 22, 1 << 22
 #: Once so small a share of the pairs is left, they are scored one by one.
@@ -239,8 +240,8 @@ def nearest_in_windows(rows: DataFrame, anchors: DataFrame, same: bool, k: int,
     ``place`` and is exact: the last threshold is the window's lower end.
     """
     n_rows = rows.count()
-    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(least, -(-n_rows // BLOCK_ROWS))
+    wanted = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(1, -(-n_rows // MOST_ROWS), min(wanted, -(-n_rows // LEAST_ROWS)))
     pending, done = anchors, []
     for level in levels:
         at = lambda w: w["low"] + ((w["high"] - w["low"]) * F.lit(level)).cast("bigint")  # noqa: B023, E731
