@@ -1,6 +1,7 @@
 """Mixing sources to target weights.
 
-The words of a source, in the order of its documents, are packed into blocks of a fixed length. Output
+The words of a source, in the order of its documents, are packed into blocks of a fixed length, shorter in
+sources of few words, so that rounding to whole blocks takes little from any source. Output
 shards draw how many blocks they take from each source from a multinomial, slots of a source are numbered
 over the shards, and a pseudorandom permutation per source and pass maps a slot's number to a block. Slots
 and blocks are then joined by the block's number.
@@ -24,13 +25,15 @@ from barloom.session import cut_lineage
 
 #: Words of a block; blocks of an output shard; the most often that a word may be taken.
 BLOCK, SHARD, MOST = 64, 4096, 3
+#: A source has this many blocks at least, if it has as many words.
+LEAST_BLOCKS = 32
 MAX_SOURCES = 100_000
 SEED = 20_240_601
 
 
 @dataclass(frozen=True)
 class Share:
-    """A source's number, name, words, target in words, blocks, and slots to fill."""
+    """A source's number, name, words, target in words, blocks, slots to fill, and words of a block."""
 
     number: int
     source: str | None
@@ -38,6 +41,7 @@ class Share:
     target: float
     blocks: int
     slots: int
+    block: int = BLOCK
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], most: float = MOST) -> list[float]:
@@ -66,10 +70,11 @@ def shares(sized: DataFrame, weights: Sequence[float] = (1, 2, 3), block: int =
     wanted = targets(sizes, [float(weights[i % len(weights)]) for i in range(len(sizes))])
     out = []
     for i, (row, size, target) in enumerate(zip(totals, sizes, wanted, strict=True)):
-        blocks = -(-size // block)
+        own = max(1, min(block, size // LEAST_BLOCKS))
+        blocks = -(-size // own)
         passes = int(target // size) if size else 0
-        rest = round((target - passes * size) / block) if size else 0
-        out.append(Share(i, row.source, size, target, blocks, passes * blocks + min(rest, blocks)))
+        rest = round((target - passes * size) / own) if size else 0
+        out.append(Share(i, row.source, size, target, blocks, passes * blocks + min(rest, blocks), own))
     return out
 
 
@@ -162,29 +167,29 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("bigint"), F.lit(0).cast("bigint")))
 
 
-def segments(rows: DataFrame, parts: list[Share], block: int = BLOCK) -> DataFrame:
+def segments(rows: DataFrame, parts: list[Share]) -> DataFrame:
     """Where each row's words lie: ``row``, ``number``, ``block``, ``start`` (word of the row), ``words``.
 
     ``rows`` has ``row`` (unique), ``doc_id``, ``source`` and ``size``; a source's rows follow each other by
     ``doc_id`` and row. The running sum is over range-sorted slices, so a source may hold any share.
     """
-    names = rows.sparkSession.createDataFrame([(x.number, x.source) for x in parts], "number bigint, _source string")
+    names = rows.sparkSession.createDataFrame([(x.number, x.source, x.block) for x in parts], "number bigint, _source string, _words bigint")
     known = rows.filter("size > 0").join(F.broadcast(names), F.col("source").eqNullSafe(F.col("_source")))
-    placed = sorted_slices(known.select("row", "number", "doc_id", "size"), "number", "doc_id", "row")
+    placed = sorted_slices(known.select("row", "number", "doc_id", "size", "_words"), "number", "doc_id", "row")
     slices = placed.groupBy("number", "_slice").agg(F.sum("size").alias("_sum"))
     before = Window.partitionBy("number").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = slices.select("number", "_slice", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
     upto = Window.partitionBy("number", "_slice").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
     ends = placed.withColumn("_own", F.sum("size").over(upto)).join(offsets, ["number", "_slice"]).select(
-        "row", "number", "size", (F.col("_own") + F.col("_before")).alias("end")
+        "row", "number", "size", "_words", (F.col("_own") + F.col("_before")).alias("end")
     )
-    begin, size = F.col("end") - F.col("size"), F.lit(block)
+    begin, size = F.col("end") - F.col("size"), F.col("_words")
     cut = ends.withColumn("begin", begin).select(
-        "row", "number", "begin", "end",
+        "row", "number", "_words", "begin", "end",
         F.explode(F.sequence(F.floor(begin / size), F.floor((F.col("end") - 1) / size))).alias("block"),
     )
-    low = F.greatest("begin", F.col("block") * block)
-    high = F.least("end", (F.col("block") + 1) * block)
+    low = F.greatest("begin", F.col("block") * size)
+    high = F.least("end", (F.col("block") + 1) * size)
     return cut.select("row", "number", "block", (low - F.col("begin")).alias("start"), (high - low).alias("words"))
 
 

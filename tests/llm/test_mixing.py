@@ -88,7 +88,8 @@ def test_taken_words_are_those_of_the_drawn_blocks(spark):
     for r in drawn:
         assert (r.number, r.block, r["pass"]) not in passes  # once in a pass
         passes.add((r.number, r.block, r["pass"]))
-        for doc in words[r.number][r.block * mixing.BLOCK : (r.block + 1) * mixing.BLOCK]:
+        block = parts[r.number].block
+        for doc in words[r.number][r.block * block : (r.block + 1) * block]:
             taken[doc] = taken.get(doc, 0) + 1
     assert {r.doc_id: r.taken for r in mixing.mixed_sizes(docs).collect() if r.taken} == taken
 
@@ -99,3 +100,14 @@ def test_shards_draw_every_slot_of_a_source_once(spark):
         F.count("*").alias("n"), F.count_distinct("slot").alias("slots"), F.max("slot").alias("last")
     ).collect()
     assert sorted((r.number, r.n, r.slots, r["last"]) for r in rows) == [(0, 10_000, 10_000, 9_999), (1, 2000, 2000, 1999)]
+
+
+def test_small_sources_come_near_their_targets(spark):
+    """One large source and many of a few dozen words, whose targets are below half a block of the large one."""
+    rows = [(0, "word " * 40_000, "a")] + [(i, "tiny " * (5 + i % 60), f"s{i:03d}") for i in range(1, 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixing.mixed_sizes(docs).collect()
+    for row in found:
+        block = max(1, min(mixing.BLOCK, row.source_size // mixing.LEAST_BLOCKS))
+        assert abs(row.taken - row.target) <= 2 * block and row.taken <= 3 * row.size
+    assert all(row.taken > 0 for row in found if row.target >= 1)
