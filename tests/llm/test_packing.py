@@ -62,7 +62,7 @@ def test_hot_lengths_without_a_full_filling_follow_the_program(histogram, most):
     assert sum(times for _, times in plan) <= most
 
 
-@pytest.mark.parametrize("n, longest", [(5000, 1024), (60_000, 1024), (5000, 300), (300, 1024)])
+@pytest.mark.parametrize("n, longest", [(5000, 1024), (5000, 300), (300, 1024)])
 def test_plans_are_near_their_bound_and_leave_little_to_best_fit(n, longest):
     lengths = np.random.default_rng(n).integers(1, longest + 1, n)
     histogram = dict(Counter(lengths.tolist()))
