@@ -6,6 +6,8 @@ operation: exits are judged per entry, and balances are running sums over given
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -68,6 +70,12 @@ def first_exits(
     return hit, np.where(settled, why, 4)
 
 
+def _barrier(buy: Column, gain: float) -> Column:
+    """``buy`` moved by ``gain`` as written in decimals: ``1.0 - 0.8`` in doubles is short of 0.2, and a low
+    right at a fifth of the price would pass the barrier."""
+    return buy * float(1 + Decimal(str(gain)))
+
+
 def exit_outcomes(
     day_bars: DataFrame,
     take_profit: float,
@@ -96,8 +104,8 @@ def exit_outcomes(
         *[F.col(c).cast("double").alias(c) for c in ("high", "low", "close", "score")],
         ((F.col("score") > threshold) & ~F.isnan("score") & (F.col("day") < F.col("last_day"))).alias("entry"),
         buy.alias("buy"),
-        (buy * (1.0 + take_profit)).alias("upper"),
-        (buy * (1.0 - stop_loss)).alias("lower"),
+        _barrier(buy, take_profit).alias("upper"),
+        _barrier(buy, -stop_loss).alias("lower"),
         pricing.sell_price(fill).alias("sell"),
     )
 

@@ -88,6 +88,15 @@ def test_signal_final_and_last_mark(spark):
     assert (out["C"].exit_reason, out["C"].exit_price, out["C"].exit_date) == ("final", 12.5, day(3))
 
 
+def test_a_low_at_the_barrier_stops_out(spark):
+    # A fifth of 1730 is 346; 1.0 - 0.8 in doubles would put the barrier just below it.
+    df = bars(spark, [(1, "A", 0.5, 1730.0, 1730.0, 1730.0), (2, "A", -0.1, 346.0, 900.0, 900.0),
+                      (1, "B", 0.5, 1730.0, 1730.0, 1730.0), (2, "B", -0.1, 347.0, 900.0, 900.0)])
+    out = trades.exit_outcomes(df, 3.0, 0.8, 6)
+    got = {r.ticker: (r.exit_reason, r.exit_price) for r in out.filter("entry_date = date'2026-01-01'").collect()}
+    assert got == {"A": ("stop_loss", 346.0), "B": ("signal", 900.0)}
+
+
 def test_threshold_gates_entries(spark):
     df = bars(spark, [(d, "A", 0.05, 10.0, 12.0, 11.0) for d in (1, 2, 3)])
     assert trades.exit_outcomes(df, 0.1, 0.1, 5, threshold=0.2).count() == 0
