@@ -97,6 +97,12 @@ def test_a_low_at_the_barrier_stops_out(spark):
     assert got == {"A": ("stop_loss", 346.0), "B": ("signal", 900.0)}
 
 
+def test_the_tally_counts_a_low_at_the_barrier(spark):
+    df = bars(spark, [(1, "A", 0.5, 1385.0, 1385.0, 1385.0), (2, "A", -0.1, 277.0, 900.0, 900.0)])
+    row = metrics.exit_tally(trades.exit_outcomes(df, 3.0, 0.8, 6)).first()
+    assert (row.stop_loss, row.signal, row.final) == (1, 0, 0)
+
+
 def test_threshold_gates_entries(spark):
     df = bars(spark, [(d, "A", 0.05, 10.0, 12.0, 11.0) for d in (1, 2, 3)])
     assert trades.exit_outcomes(df, 0.1, 0.1, 5, threshold=0.2).count() == 0
