@@ -209,3 +209,43 @@ def test_huber_of_windows_scores_like_its_function(spark, std):
     scores = by_key(scoring.score(std, scoring.LinearScorer(model.step_weights(3), model.intercept), 3))
     labels = {(r.ticker, r.date): r.label for r in labelled.collect()}
     assert scores and all(s == pytest.approx(labels[k], abs=1e-6) for k, s in scores.items())
+
+
+def test_packed_windows_are_all_windows(spark, std, monkeypatch):
+    monkeypatch.setattr(regression, "CHUNK_WINDOWS", 7)
+    monkeypatch.setattr(regression, "BLOCK_WINDOWS", 5)
+    labelled = std.withColumn("label", F.when(F.dayofmonth("date") % 9 != 0, F.hash("ticker", "date") / 2**30))
+    panel = regression.pack(labelled, 4, [0, 3])
+    assert panel.width == 2 and max(len(r.y) for r in panel.rows.collect()) == 10
+    model = regression.fit_packed(panel)
+    rows = regression.window_rows(labelled, 4, [0, 3])
+    other = regression.huber(rows, 8)
+    assert model.converged and model.n == other.n == rows.filter("y is not null").count()
+    assert [model.intercept, *model.coefficients] == pytest.approx([other.intercept, *other.coefficients], abs=1e-8)
+    # The slopes, added up in SQL over windows that Spark makes.
+    beta = F.array(*[F.lit(float(b)) for b in model.coefficients])
+    fitted = F.aggregate(F.zip_with("x", beta, lambda a, b: a * b), F.lit(model.intercept), lambda s, v: s + v)
+    error = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), fitted - F.col("y")))
+    assert rows.filter("y is not null").agg(F.avg(error * F.col("x")[5])).first()[0] == pytest.approx(0.0, abs=1e-9)
+
+
+def test_few_passes_and_no_row_moved(spark, std):
+    labelled = std.withColumn("label", F.hash("ticker", "date") / 2**30)
+    panel = regression.pack(labelled, 2)
+    model = regression.fit_packed(panel)
+    assert model.converged and model.iterations <= 15
+    plan = regression.packed_stationarity(panel, model)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 1 and "collect_list" not in plan and "Window" not in plan
+
+
+def test_scaled_huber_is_the_loss_of_spark(spark, std):
+    noise = F.hash("ticker", "date") / 2**31
+    labelled = std.withColumn("label", F.get("feature", F.lit(0)) * 2 + 1 + noise * noise * noise * 3)
+    ours = scoring.fit_huber(labelled, steps=1)
+    rows = scoring.window_vectors(regression.windows(labelled, 1))
+    theirs = scoring.LinearRegression(loss="huber", epsilon=1.35, maxIter=500, tol=1e-12).fit(rows)
+    assert ours.coefficients.toArray() == pytest.approx(theirs.coefficients.toArray(), abs=2e-4)
+    assert ours.intercept == pytest.approx(theirs.intercept, abs=2e-4)
+    found = regression.scaled_windows(labelled, 1)
+    assert found.converged and found.delta / 1.35 == pytest.approx(theirs.scale, abs=2e-4)
+    assert ours.coefficients.toArray() == pytest.approx(found.coefficients, abs=1e-7)
