@@ -220,12 +220,16 @@ def book_days(actions: DataFrame, bars: DataFrame, start_cash: float) -> DataFra
         F.col("close").cast("double").alias("close"),
         *[nothing.alias(name) for name in sums],
     )
-    # Placed by ticker once, which serves the grouping and the frame below.
+    # Placed and sorted by ticker and date once, which serves the day's sums and the frame below. The sums run
+    # along the sorted rows: a task keeps its rows to sort, and no table of groups beside them.
+    day = Window.partitionBy("ticker", "date")
     steps = (
         marks.unionByName(orders)
         .repartition("ticker")
-        .groupBy("ticker", "date")
-        .agg(F.max("close").alias("close"), *[F.sum(name).alias(name) for name in sums])
+        .withColumn("_copy", F.row_number().over(day.orderBy("date")))
+        .withColumns({"close": F.max("close").over(day), **{name: F.sum(name).over(day) for name in sums}})
+        .filter(F.col("_copy") == 1)
+        .drop("_copy")
     )
     so_far = along().rowsBetween(Window.unboundedPreceding, 0)
     held = steps.withColumns(

@@ -296,3 +296,18 @@ def test_empty_reports(spark):
 
 def test_hurdle_is_the_round_trip_cost():
     assert trades.rotation_pairs.__defaults__[-1] == pricing.ROUND_TRIP
+
+
+def test_a_book_sorts_its_rows_once_and_groups_none_by_ticker(spark):
+    priced = bars(spark, [(d, "A", 0.1, 10.0, 10.0, 10.0 + d) for d in (1, 2, 3)]).select("ticker", "date", "close")
+    orders = spark.createDataFrame(
+        [(day(2), "A", "Sell", "", 11.0, 1000.0), (day(2), "A", "Buy", "", 11.0, 2000.0), (day(1), "A", "Buy", "", 11.0, 1000.0),
+         (day(4), "B", "Buy", "", 5.0, 1000.0)], ACTIONS)
+    days = trades.book_days(orders, priced, 1e6)
+    got = {r.date.day: (r.value, r.value_before_buys) for r in days.collect()}
+    assert got == {1: (11000.0, 0.0), 2: (24000.0, 0.0), 3: (26000.0, 26000.0), 4: (26000.0, 26000.0)}
+    plan = days._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [ticker" not in plan
+    physical = days._jdf.queryExecution().sparkPlan().toString()
+    before_days = physical[physical.index("HashAggregate"):]
+    assert "keys=[ticker" not in before_days
