@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.catalog import tables as t
-from barloom.catalog.registry import query, r, tidy
+from barloom.catalog.registry import query, r, rounded, tidy
 from barloom.functions import signals
 from barloom.operators import panel, ranking, windows
 from barloom.session import cut_lineage
@@ -24,6 +24,12 @@ def spread_features(df):
     return df.select(*[c for c in df.columns if c != "feature"], *items)
 
 
+def rounded_features(df):
+    """The packed features rounded in place: rounded column by column, each would repeat its definition in code that
+    grows too long to be compiled."""
+    return df.withColumn("feature", F.transform("feature", lambda value: rounded(value, 4)))
+
+
 @query(
     "prev_close_volume",
     "sig",
@@ -108,7 +114,7 @@ def range_signal(spark, sf):
 @query("feature_array", "std", f"SELECT ticker, date, 12 AS width, {FEATURE_SQL} FROM std")
 def feature_array(spark, sf):
     df = t.std(spark, sf).select("ticker", "date", "feature", F.size("feature").alias("width"))
-    return tidy(spread_features(df))
+    return spread_features(rounded_features(df))
 
 
 @query(
@@ -117,7 +123,7 @@ def feature_array(spark, sf):
     f"SELECT ticker, date, {PRICE_SQL}, {FEATURE_SQL} FROM std",
 )
 def standardized(spark, sf):
-    return tidy(spread_features(t.std(spark, sf)), **dict.fromkeys(PRICES))
+    return spread_features(tidy(rounded_features(t.std(spark, sf)), **dict.fromkeys(PRICES)))
 
 
 @query(

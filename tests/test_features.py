@@ -127,3 +127,12 @@ def test_correlation_flat_and_exact(spark):
     assert ic([(x, 2 * x) for x in up]) == pytest.approx(1.0, abs=1e-4)
     assert ic(list(zip(up, reversed(up)))) == pytest.approx(-1.0, abs=1e-4)
     assert ic([(1.0, x) for x in up]) == 0.0
+
+
+def test_features_are_rounded_in_one_place(spark):
+    from barloom.catalog import QUERIES
+
+    for name in ("standardize", "feature_array"):
+        df = QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert df._jdf.queryExecution().optimizedPlan().toString().lower().count("floor(") <= 2
+        assert dict(df.dtypes)["close_return_cs"] == "double"
