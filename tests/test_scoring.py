@@ -1,5 +1,6 @@
 import datetime as dt
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -93,6 +94,24 @@ def test_gru_chunks_do_not_change_scores(spark, std):
         scoring.GruScorer(weights, chunk_rows=5).score(std, 20)
 
 
+def test_gru_works_in_blocks_of_windows(spark, std):
+    weights = scoring.gru_weights(seed=2)
+    rows = np.random.default_rng(7).normal(size=(scoring.GRU_WINDOWS * 16 + 30, 12)).astype(np.float32)
+    rows[5] *= 1000  # gates far beyond the range of exp
+    tracemalloc.start()
+    got = scoring.gru_forward(rows, 20, weights)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # The rows' products and the buffers of a block, not of all windows.
+    assert peak < 2 * 4 * 96 * len(rows)
+    for at in (0, 5, scoring.GRU_WINDOWS - 1, scoring.GRU_WINDOWS, len(got) - 1):
+        assert got[at] == pytest.approx(slow_gru(rows[at : at + 20].astype(float), weights), abs=1e-6)
+    assert len(scoring.gru_forward(rows[:19], 20, weights)) == 0
+    # Rows reach the worker as Arrow columns; no date becomes an object of its own.
+    plan = scoring.GruScorer(weights).score(std, 20)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "Pandas" not in plan
+
+
 def test_linear_is_a_dot_product(spark, std):
     draw = np.random.default_rng(1)
     weights = draw.normal(size=(4, 12))
