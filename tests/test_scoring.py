@@ -123,6 +123,16 @@ def test_linear_is_a_dot_product(spark, std):
         assert got[("t1", rows[end].date)] == pytest.approx(float((window * weights).sum()), abs=1e-6)
 
 
+def test_windows_of_one_row_are_scored_where_they_lie(spark, std):
+    weights = np.random.default_rng(4).normal(size=(1, 12))
+    scored = scoring.score(std, scoring.LinearScorer(weights.tolist(), 0.5), 1)
+    assert "Window" not in scored._jdf.queryExecution().optimizedPlan().toString()
+    got = by_key(scored)
+    assert len(got) == 3 + 25 + 70
+    for row in std.collect():
+        assert got[row.ticker, row.date] == pytest.approx(0.5 + float(np.dot(weights[0], row.feature)), abs=1e-6)
+
+
 def test_since_keeps_lookback(spark, std):
     cutoff = EPOCH + dt.timedelta(days=22)
     scorer = scoring.momentum_scorer(20)
