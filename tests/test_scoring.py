@@ -112,6 +112,22 @@ def test_gru_works_in_blocks_of_windows(spark, std):
     assert "FlatMapGroupsInArrow" in plan and "Pandas" not in plan
 
 
+def test_gru_streams_rows_as_they_lie(spark, std):
+    weights = scoring.gru_weights(seed=2)
+    scored = scoring.score(std, scoring.GruScorer(weights), 20)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    # One sort along the ticker serves the numbers and the groups, and no row is copied.
+    assert plan.count("Sort [") == 1 and "Generate" not in plan
+    whole = by_key(scored)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        streamed = by_key(scored)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert streamed.keys() == whole.keys()
+    assert all(streamed[k] == pytest.approx(whole[k], abs=1e-6) for k in whole)
+
+
 def test_linear_is_a_dot_product(spark, std):
     draw = np.random.default_rng(1)
     weights = draw.normal(size=(4, 12))
