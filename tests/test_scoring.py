@@ -149,6 +149,16 @@ def test_windows_of_one_row_are_scored_where_they_lie(spark, std):
         assert got[row.ticker, row.date] == pytest.approx(0.5 + float(np.dot(weights[0], row.feature)), abs=1e-6)
 
 
+def test_windows_of_one_row_are_packed_across_tickers(spark, std):
+    labelled = std.withColumn("label", F.get("feature", F.lit(3)).cast("double"))
+    panel = regression.pack(labelled.coalesce(1), 1, [0, 3])
+    # 98 rows of three tickers fit one stored row.
+    stored = panel.rows.collect()
+    assert len(stored) == 1 and len(stored[0].y) == 98 and len(stored[0].x) == 2 * 98 and panel.width == 2
+    model = regression.fit_packed(panel)
+    assert model.n == 98 and model.coefficients == pytest.approx([0, 1], abs=1e-9)
+
+
 def test_since_keeps_lookback(spark, std):
     cutoff = EPOCH + dt.timedelta(days=22)
     scorer = scoring.momentum_scorer(20)
