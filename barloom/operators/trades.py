@@ -202,56 +202,49 @@ def book_days(actions: DataFrame, bars: DataFrame, start_cash: float) -> DataFra
     close. ``value_before_buys`` is the marked value once the day's sells are out and before its
     buys are in. Sales of a day settle on the next.
     """
-    is_buy = F.col("side") == BUY
-    nothing = F.lit(0.0)
-    orders = actions.withColumn("_flow", _flow()).select(
+    # Bars and orders as narrow rows of one shape: 0 for a bar with its close, 1 and -1 for a buy and a sell with its
+    # flow and shares.
+    orders = actions.select(
         "ticker",
         "date",
-        F.lit(None).cast("double").alias("close"),
-        F.when(is_buy, F.col("shares")).otherwise(nothing).alias("bought"),
-        F.when(is_buy, nothing).otherwise(F.col("shares")).alias("sold"),
-        F.when(is_buy, F.col("_flow")).otherwise(nothing).alias("paid"),
-        F.when(is_buy, nothing).otherwise(F.col("_flow")).alias("received"),
+        F.when(F.col("side") == BUY, 1).otherwise(-1).alias("turn"),
+        _flow().alias("amount"),
+        F.col("shares").cast("double").alias("shares"),
     )
-    sums = ["bought", "sold", "paid", "received"]
     marks = bars.select(
         "ticker",
         "date",
-        F.col("close").cast("double").alias("close"),
-        *[nothing.alias(name) for name in sums],
+        F.lit(0).alias("turn"),
+        F.col("close").cast("double").alias("amount"),
+        F.lit(0.0).alias("shares"),
     )
-    # Placed and sorted by ticker and date once, which serves the day's sums and the frame below. The sums run
-    # along the sorted rows: a task keeps its rows to sort, and no table of groups beside them.
-    day = Window.partitionBy("ticker", "date")
-    steps = (
+    is_buy, is_sell = F.col("turn") == 1, F.col("turn") == -1
+    # Placed and sorted by ticker and date once, which serves every frame below. A frame ends with its day, so all
+    # rows of a day say the same, and the change since the row before is zero on all but the day's first.
+    day_close = F.max(F.when(F.col("turn") == 0, F.col("amount"))).over(Window.partitionBy("ticker", "date"))
+    so_far = along().rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    held = (
         marks.unionByName(orders)
         .repartition("ticker")
-        .withColumn("_copy", F.row_number().over(day.orderBy("date")))
-        .withColumns({"close": F.max("close").over(day), **{name: F.sum(name).over(day) for name in sums}})
-        .filter(F.col("_copy") == 1)
-        .drop("_copy")
-    )
-    so_far = along().rowsBetween(Window.unboundedPreceding, 0)
-    held = steps.withColumns(
-        {
-            "held": F.sum(F.col("bought") - F.col("sold")).over(so_far),
-            "mark": F.last("close", ignorenulls=True).over(so_far),
-        }
-    ).withColumns(
-        {
-            "value": F.coalesce(F.col("held") * F.col("mark"), F.lit(0.0)),
-            "kept": F.coalesce((F.col("held") - F.col("bought")) * F.col("mark"), F.lit(0.0)),
-        }
+        .withColumn("close", day_close)
+        .withColumns(
+            {
+                "held": F.sum(F.col("turn") * F.col("shares")).over(so_far),
+                "mark": F.last("close", ignorenulls=True).over(so_far),
+            }
+        )
+        .withColumn("value", F.coalesce(F.col("held") * F.col("mark"), F.lit(0.0)))
     )
-    before = F.lag("value", 1, 0.0).over(along())
+    change = F.col("value") - F.lag("value", 1, 0.0).over(along())
+    bought = F.when(is_buy, F.coalesce(F.col("shares") * F.col("mark"), F.lit(0.0))).otherwise(0.0)
     days = (
-        held.withColumns({"change": F.col("value") - before, "kept": F.col("kept") - before})
+        held.withColumns({"change": change, "bought": bought})
         .groupBy("date")
         .agg(
             F.sum("change").alias("change"),
-            F.sum("kept").alias("kept_change"),
-            F.sum("paid").alias("paid"),
-            F.sum("received").alias("received"),
+            F.sum(F.col("change") - F.col("bought")).alias("kept_change"),
+            F.coalesce(F.sum(F.when(is_buy, F.col("amount"))), F.lit(0.0)).alias("paid"),
+            F.coalesce(F.sum(F.when(is_sell, F.col("amount"))), F.lit(0.0)).alias("received"),
         )
     )
     # From here on one row per day.

@@ -311,3 +311,21 @@ def test_a_book_sorts_its_rows_once_and_groups_none_by_ticker(spark):
     physical = days._jdf.queryExecution().sparkPlan().toString()
     before_days = physical[physical.index("HashAggregate"):]
     assert "keys=[ticker" not in before_days
+
+
+def test_a_book_moves_narrow_rows(spark):
+    priced = bars(spark, [(d, "A", 0.1, 10.0, 10.0, c) for d, c in ((2, 12.0), (2, 11.0), (3, 13.0))]).select("ticker", "date", "close")
+    orders = spark.createDataFrame(
+        [(day(1), "A", "Buy", "", 11.0, 1000.0), (day(3), "A", "Sell", "", 13.0, 1000.0), (day(3), "A", "Buy", "", 13.0, 2000.0)], ACTIONS)
+    days = trades.book_days(orders, priced, 1e6)
+    # Without a close nothing counts, of two closes the larger does, and a day's buys are not among what was kept.
+    got = {r.date.day: (r.value, r.value_before_buys) for r in days.collect()}
+    assert got == {1: (0.0, 0.0), 2: (12000.0, 12000.0), 3: (26000.0, 0.0)}
+
+    def nodes(plan):
+        yield plan
+        for i in range(plan.children().size()):
+            yield from nodes(plan.children().apply(i))
+
+    moved = [n.output().size() for n in nodes(days._jdf.queryExecution().optimizedPlan()) if n.nodeName() == "RepartitionByExpression"]
+    assert moved == [5]
