@@ -7,7 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.operators import metrics
+from barloom.operators.panel import forward_mfe
 from barloom.plans import regression, scoring
+from barloom.plans.features import label_gains, label_rank
+from barloom.session import cut_lineage
 
 EPOCH = dt.date(2020, 1, 1)
 
@@ -159,6 +162,16 @@ def test_windows_of_one_row_are_packed_across_tickers(spark, std):
     assert model.n == 98 and model.coefficients == pytest.approx([0, 1], abs=1e-9)
 
 
+def test_stored_gains_are_labelled_without_a_frame(spark, std):
+    stored = cut_lineage(forward_mfe(std, 3).drop("high", "low"))
+    labelled = label_gains(stored)
+    assert "Window" not in labelled._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.ticker, r.date): r.label for r in labelled.collect()}
+    expected = {(r.ticker, r.date): r.label for r in label_rank(std, 3).collect()}
+    assert got.keys() == expected.keys() and got
+    assert all(got[k] == pytest.approx(expected[k], abs=1e-9) for k in got)
+
+
 def test_since_keeps_lookback(spark, std):
     cutoff = EPOCH + dt.timedelta(days=22)
     scorer = scoring.momentum_scorer(20)
