@@ -48,11 +48,11 @@ SHARPE = "avg(daily_return) / stddev_pop(daily_return) * sqrt(252)"
 
 
 def equity(spark, sf):
-    return trades.mark_equity(t.actions(spark, sf), t.ticker_bars(spark, sf), t.CASH)
+    return trades.mark_equity(*t.book(spark, sf), tasks=t.tasks(spark, sf))
 
 
 def round_trips(spark, sf):
-    return trades.round_trips(t.actions(spark, sf))
+    return trades.round_trips(t.actions(spark, sf, t.bars_in_order))
 
 
 @query(
@@ -152,7 +152,7 @@ def write_actions_csv(spark, sf):
 def curve_files(spark, sf):
     """The book's curve and the buy-and-hold curve as CSV, by label."""
     files = {"book": equity(spark, sf),
-             "hold": metrics.baseline_curve(t.bars(spark, sf), START, END, t.CASH)}
+             "hold": metrics.baseline_curve(t.bars_in_order(spark, sf), START, END, t.CASH)}
     paths = {label: scratch_path(spark, f"curve-{label}") for label in files}
     for label, curve in files.items():
         write_csv(curve, paths[label])

@@ -237,7 +237,7 @@ def round_trips(spark, sf):
 
 @query("mark_equity", "equity", f"SELECT date, {r('equity', -1)} AS equity FROM equity")
 def mark_equity(spark, sf):
-    df = trades.mark_equity(t.actions(spark, sf), t.ticker_bars(spark, sf), t.CASH)
+    df = trades.mark_equity(*t.book(spark, sf), tasks=t.tasks(spark, sf))
     return tidy(df, -1)
 
 
@@ -247,7 +247,7 @@ def mark_equity(spark, sf):
     f"SELECT date, {r(f'(cash_before + kept) / {t.SLOTS}', -1)} AS target FROM book",
 )
 def equal_target(spark, sf):
-    df = trades.equal_target(t.actions(spark, sf), t.ticker_bars(spark, sf), t.CASH, t.SLOTS)
+    df = trades.equal_target(*t.book(spark, sf), t.SLOTS, t.tasks(spark, sf))
     return tidy(df, -1)
 
 

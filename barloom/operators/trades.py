@@ -194,7 +194,7 @@ def _flow() -> Column:
     )
 
 
-def book_days(actions: DataFrame, bars: DataFrame, start_cash: float) -> DataFrame:
+def book_days(actions: DataFrame, bars: DataFrame, start_cash: float, tasks: int | None = None) -> DataFrame:
     """One row per day of ``bars``: cash, unsettled proceeds and marked holdings.
 
     Each ticker's holding changes value only on its own rows, so the book's value is a running sum
@@ -223,9 +223,9 @@ def book_days(actions: DataFrame, bars: DataFrame, start_cash: float) -> DataFra
     # rows of a day say the same, and the change since the row before is zero on all but the day's first.
     day_close = F.max(F.when(F.col("turn") == 0, F.col("amount"))).over(Window.partitionBy("ticker", "date"))
     so_far = along().rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = marks.unionByName(orders)
     held = (
-        marks.unionByName(orders)
-        .repartition("ticker")
+        (rows.repartition("ticker") if tasks is None else rows.repartition(tasks, "ticker"))
         .withColumn("close", day_close)
         .withColumns(
             {
@@ -270,18 +270,18 @@ def book_days(actions: DataFrame, bars: DataFrame, start_cash: float) -> DataFra
     )
 
 
-def mark_equity(actions: DataFrame, bars: DataFrame, start_cash: float) -> DataFrame:
+def mark_equity(actions: DataFrame, bars: DataFrame, start_cash: float, tasks: int | None = None) -> DataFrame:
     """Daily equity: cash, unsettled proceeds and holdings at their last close."""
     equity = F.col("cash") + F.col("pending") + F.col("value")
-    return book_days(actions, bars, start_cash).select("date", equity.alias("equity"))
+    return book_days(actions, bars, start_cash, tasks).select("date", equity.alias("equity"))
 
 
 def equal_target(
-    actions: DataFrame, bars: DataFrame, start_cash: float, slots: int
+    actions: DataFrame, bars: DataFrame, start_cash: float, slots: int, tasks: int | None = None
 ) -> DataFrame:
     """Per day, the equal share of one slot: settled cash and kept holdings over the slots."""
     share = (F.col("cash_before_buys") + F.col("value_before_buys")) / max(slots, 1)
-    return book_days(actions, bars, start_cash).select("date", share.alias("target"))
+    return book_days(actions, bars, start_cash, tasks).select("date", share.alias("target"))
 
 
 def settle_cash(actions: DataFrame, days: DataFrame, start_cash: float) -> DataFrame:

@@ -329,3 +329,10 @@ def test_a_book_moves_narrow_rows(spark):
 
     moved = [n.output().size() for n in nodes(days._jdf.queryExecution().optimizedPlan()) if n.nodeName() == "RepartitionByExpression"]
     assert moved == [5]
+
+
+def test_a_book_is_shared_by_as_many_tasks_as_told(spark, winning):
+    prices, actions = winning
+    told = trades.book_days(actions, prices, 4e5, tasks=5)
+    assert "RepartitionByExpression [ticker" in (plan := told._jdf.queryExecution().optimizedPlan().toString()) and "], 5" in plan
+    assert sorted(told.collect()) == sorted(trades.book_days(actions, prices, 4e5).collect())
