@@ -317,3 +317,21 @@ def test_scaled_huber_is_the_loss_of_spark(spark, std):
     found = regression.scaled_windows(labelled, 1)
     assert found.converged and found.delta / 1.35 == pytest.approx(theirs.scale, abs=2e-4)
     assert ours.coefficients.toArray() == pytest.approx(found.coefficients, abs=1e-7)
+
+
+def test_gru_gates_far_out_are_shut_or_open_without_a_warning():
+    import warnings
+
+    weights = scoring.gru_weights(seed=3)
+    rows = np.linspace(-3e3, 3e3, 40 * scoring.N_FEATURES, dtype=np.float32).reshape(40, -1)
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        scores = scoring.gru_forward(rows, 5, weights)
+    assert scores.shape == (36,) and np.isfinite(scores).all()
+
+
+def test_gru_takes_no_tanh(monkeypatch):
+    # A tanh takes numpy twice as long as an exp.
+    monkeypatch.setattr(np, "tanh", None)
+    rows = np.zeros((6, scoring.N_FEATURES), np.float32)
+    assert len(scoring.gru_forward(rows, 5, scoring.gru_weights(seed=3))) == 2
