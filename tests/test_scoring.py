@@ -335,3 +335,66 @@ def test_gru_takes_no_tanh(monkeypatch):
     monkeypatch.setattr(np, "tanh", None)
     rows = np.zeros((6, scoring.N_FEATURES), np.float32)
     assert len(scoring.gru_forward(rows, 5, scoring.gru_weights(seed=3))) == 2
+
+
+def window_block(holes=0):
+    draw = np.random.default_rng(7)
+    rows, y = draw.normal(size=(60, 3)), draw.normal(size=60)
+    ends = np.array([e for e in range(3, 60) if not holes or e % holes])
+    block = regression._Block(rows, ends, y[ends], 4)
+    return block, np.array([[1.0, *rows[e - 3 : e + 1].ravel(), y[e]] for e in ends])
+
+
+@pytest.mark.parametrize("holes", [0, 2, 7])
+def test_a_block_adds_up_what_its_windows_do(holes):
+    block, full = window_block(holes)
+    draw = np.random.default_rng(8)
+    beta, factors = draw.normal(size=13), draw.normal(size=len(full))
+    assert block.errors(beta) == pytest.approx(full[:, -1] - full[:, :-1] @ beta)
+    assert block.added(factors) == pytest.approx(factors @ full[:, :-1])
+    assert regression._whole(block.products(), 14) == pytest.approx(full.T @ full)
+    some, weights = factors > 0, draw.random((factors > 0).sum())
+    assert regression._whole(block.products(some, weights), 14) == pytest.approx((weights[:, None] * full[some]).T @ full[some])
+
+
+def test_a_step_takes_out_the_windows_that_cross_the_threshold_only(spark, std, monkeypatch):
+    labelled = std.withColumn("label", F.hash("ticker", "date") / 2**30)
+    panel = regression.pack(labelled, 2, [0, 3])
+    rows = np.array([[1.0, *r.x, r.y] for r in regression.window_rows(labelled, 2, [0, 3]).collect()])
+    before, now = regression._Point(np.zeros(5), 1.0), regression._Point(np.array([0.2, 0.3, -0.1, 0.0, 0.1]), 0.9)
+    step = regression._beyond(panel.rows, panel.blocks, before, now)
+    error, was = rows[:, -1] - rows[:, :-1] @ now.beta, np.abs(rows[:, -1]) > 1.0
+    far = np.abs(error) > 0.9
+    assert (was & ~far).any() and (far & ~was).any() and step.n == far.sum()
+    assert step.change == pytest.approx(rows[was & ~far].T @ rows[was & ~far] - rows[far & ~was].T @ rows[far & ~was])
+    assert step.signs == pytest.approx(np.sign(error[far]) @ rows[far, :-1])
+    # From a point to itself nothing crosses.
+    assert not regression._beyond(panel.rows, panel.blocks, now, now).change.any()
+
+
+@pytest.mark.parametrize("seed, noise, freedom, delta", [(3, 20.0, 1.1, 0.05), (5, 1.0, 2.0, 0.02)])
+def test_few_windows_within_the_threshold(spark, seed, noise, freedom, delta):
+    # The first has none at least squares; in the second, steps overshoot.
+    draw = np.random.default_rng(seed)
+    x = draw.standard_t(1.5 if freedom < 2 else 3, size=(200, 1))
+    y = 3 * x[:, 0] + draw.standard_t(freedom, size=200) * noise
+    df = spark.createDataFrame([(v.tolist(), float(t)) for v, t in zip(x, y, strict=True)], "x array<double>, y double")
+    model = regression.huber(df, 1, delta)
+    assert model.converged
+    assert all(abs(r.slope) < 1e-8 for r in regression.stationarity(df, model).collect())
+
+
+def test_bars_and_gains_of_the_window_fit_are_made_once(spark):
+    from barloom.catalog import scoring as queries, tables as t
+
+    data, held = "/root/testdata/sf0.001", spark.sparkContext._jsc.getPersistentRDDs
+    with queries.early(spark, data) as train:
+        plan = train._jdf.queryExecution().optimizedPlan().toString()
+        assert "InMemoryRelation" in plan and "Relation [l_" not in plan  # the lines are not read again
+        got = {(r.ticker, r.date): (r.feature, r.label) for r in train.collect()}
+        assert not held().isEmpty()
+    assert held().isEmpty()
+    labelled = t.labelled(spark, data).filter(F.col("date") < F.lit(t.CUTOFF).cast("date"))
+    expected = {(r.ticker, r.date): (r.feature, r.label) for r in labelled.collect()}
+    assert got.keys() == expected.keys() and got
+    assert all(got[k][0] == pytest.approx(expected[k][0], abs=1e-6) and got[k][1] == pytest.approx(expected[k][1]) for k in got)
